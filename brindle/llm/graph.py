@@ -36,7 +36,7 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, ratio: tuple[int, int], small: int = 12) -> DataFrame:
+def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, ratio: tuple[int, int], small: int = 12, profile: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all ids that link, where ids link only if they share a bucket and verify() keeps them.
 
     postings: (bucket, id, size, weight), a table that can be read again; each (bucket, id) once.
@@ -61,12 +61,18 @@ def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scrat
     links = scratch.table(verify(pairs), "links")
     found = scratch.table(components(links, scratch), "found")
     crowd = shared.where(F.col("n") > small)
-    named = crowd.join(found.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "size", F.coalesce("c", "id").alias("c"))
+    named = crowd.join(found.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "size", "lead", F.coalesce("c", "id").alias("c"))
     split = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     named = scratch.table(named.join(split, "bucket", "left_semi"), "named")
-    x = named.select("bucket", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca"))
-    y = named.select("bucket", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-    cross = x.join(y, "bucket").where(F.col("ca") != F.col("cb")).where(F.col("a") < F.col("b")).where(fits(F.col("sa"), F.col("sb"))).select("a", "b")
+    known = named.select("bucket", "id", "size", "c", F.lit(0).alias("inner"), F.array().cast("array<long>").alias("rest"))
+    if profile:
+        known = named.join(profile(named.select("lead", "id").distinct()), ["lead", "id"]).select(*known.columns)
+    x, y = (known.select("bucket", *[F.col(c).alias(c + side) for c in known.columns[1:]]) for side in "xy")
+    apart = (F.col("cx") != F.col("cy")) & (F.col("idx") < F.col("idy")) & fits(F.col("sizex"), F.col("sizey"))
+    if profile:
+        may = lambda shared: (F.least("innerx", "innery") + shared) * (p + q) >= (F.col("sizex") + F.col("sizey")) * p
+        apart = apart & may(F.least(F.size("restx"), F.size("resty"))) & may(F.size(F.array_intersect("restx", "resty")))
+    cross = x.join(y, "bucket").where(apart).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
     cross = scratch.table(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         more = scratch.table(verify(cross), "more")

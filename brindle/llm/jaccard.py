@@ -3,7 +3,8 @@
 Two sets of Jaccard at least t share a token among the first |x| - ceil(t |x|) + 1 of each under any
 global order of the tokens. Several orders, rare tokens first, must all hold this; candidates of the
 first order come from an equi-join on its prefix tokens, the others are intersected before exact
-verification. Rarity is the count in a fixed table of hashed counters over all documents: exactness of
+verification. In a large bucket the overlap with its leading member bounds what two others can share, and
+the join leaves out pairs that can't link by it. Rarity is the count in a fixed table of hashed counters over all documents: exactness of
 the filter does not hang on it, only the number of candidates."""
 
 from __future__ import annotations
@@ -98,6 +99,17 @@ def _sets(k: int):
     return run
 
 
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        inner, rest = [], []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            s, lead = np.frombuffer(x, U), np.frombuffer(y, U)
+            other = np.setdiff1d(s, lead, assume_unique=True)
+            inner.append(len(s) - len(other))
+            rest.append(other.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), pa.array(inner, pa.int32()), pa.array(rest, pa.list_(pa.int64()))], ["lead", "id", "inner", "rest"])
+
+
 def _linked(percent: int, rare_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, kept = rare_var.value, {}
@@ -151,8 +163,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     postings = scratch.table(postings, "postings")
     release(spark)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         heads_of = heads.select("id", "one", "two").join(ids, "id", "left_semi")
         texts = docs.join(ids, docs.doc_id == ids.id).select("id", "text")
         sets = texts.mapInArrow(_sets(words), "id long, tokens binary")
@@ -160,15 +171,26 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
             # an id with several texts: the set whose fingerprint the head has
             mine = F.udf(lambda t: [int(np.sum(np.frombuffer(t, U), dtype=U).view(np.int64)), int(np.sum(mix(np.frombuffer(t, U)), dtype=U).view(np.int64))], "array<long>")
             sets = sets.withColumn("f", mine("tokens")).join(heads_of.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & (F.col("f")[0] == F.col("one")) & (F.col("f")[1] == F.col("two"))).select("id", "tokens").dropDuplicates(["id"])
-        sets = scratch.table(sets, "sets")
+        return scratch.table(sets, "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         out = scratch.table(joined.select("a", "b", "x", "y").mapInArrow(_linked(percent, rare), "a long, b long"), "verified")
         scratch.drop(sets)
         release(spark)
         return out
 
+    def profile(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
+        joined = pairs.join(sets.withColumnRenamed("tokens", "x"), "id").join(sets.select(F.col("id").alias("lead"), F.col("tokens").alias("y")), "lead")
+        out = scratch.table(joined.select("lead", "id", "x", "y").mapInArrow(_profiled, "lead long, id long, inner int, rest array<long>"), "profile")
+        scratch.drop(sets)
+        release(spark)
+        return out
+
     one_text = part.count() == part.select("doc_id").distinct().count()
-    found = resolve(postings, verify, scratch, (percent, 100))
+    found = resolve(postings, verify, scratch, (percent, 100), profile=profile)
     scratch.drop(postings)
     named = heads.join(found, "id", "left").select("one", "two", F.coalesce("component", "id").alias("c"))
     named = scratch.table(named, "named")
