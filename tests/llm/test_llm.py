@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, with nulls, empty and repeated rows, clashing names and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -67,6 +68,31 @@ def test_jaccard_keeps_one(docs):
     assert 60 in kept and not {61, 65, 71, 80} & set(kept) and kept.count(3) == 1 and {81, 82, 83, None} <= set(kept)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_crowd(spark, k, percent):
+    """A large group of copies, many of which don't link with its lead but with each other."""
+    rng = random.Random(5)
+    edits = [(rng.randrange(120), f"e{j}") for j in range(12)]
+    texts = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(120)]
+        for at, new in rng.sample(edits, rng.randrange(7)):
+            words[at] = new
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(120)] = f"u{i}"
+        texts.append(words[: 120 - (rng.randrange(14) if i % 5 == 0 else 0)])
+    sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in texts]
+    least = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = jaccard.jaccard_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), k, percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(least))
+    assert len(set(least)) > 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
