@@ -100,6 +100,32 @@ def aggregate_loss(tokens: DataFrame, seq: str, loss: str, mask: str, mode: str)
     return s.agg(F.round(how, 6).alias("loss"))
 
 
+def _per_sequence(tokens: DataFrame, seq: str, **sums: Column) -> DataFrame:
+    """Masked sums of token columns by sequence: one aggregation with map-side combine."""
+    return tokens.groupBy(seq).agg(F.sum("mask").alias("m"), *[F.sum(c * F.col("mask")).alias(k) for k, c in sums.items()])
+
+
+def sequence_ratio_loss(tokens: DataFrame, seq: str, low: float = 0.2, high: float = 0.2) -> DataFrame:
+    """Sequence-ratio (GSPO) loss of tokens (seq, logp, old, adv, mask): all of a sequence's tokens have the
+    ratio exp(mean log-ratio), at most exp(10). As the ratio is one for all, the clipped side hangs on
+    the advantage's sign only, and sums of positive and negative advantages are enough."""
+    adv = F.col("adv")
+    s = _per_sequence(tokens, seq, k=F.col("logp") - F.col("old"), gain=F.greatest(adv, F.lit(0.0)), cost=F.least(adv, F.lit(0.0)))
+    ratio = F.exp(F.least(F.col("k") / F.greatest("m", F.lit(1)), F.lit(10.0)))
+    clip = F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high))
+    total = -(F.col("gain") * F.least(ratio, clip) + F.col("cost") * F.greatest(ratio, clip))
+    return s.agg(F.avg(total / (F.col("m") + 1e-8)).alias("loss"))
+
+
+def geometric_mean_loss(tokens: DataFrame, seq: str, low: float = 0.2, high: float = 0.2) -> DataFrame:
+    """Geometric-mean (GMPO) loss of tokens (seq, logp, old, adv, mask): log-ratios are clipped a token at a
+    time on the side that the advantage's sign names; a sequence has their mean and its mean advantage."""
+    k, sign = F.col("logp") - F.col("old"), F.signum("adv")
+    clip = F.least(F.greatest(k, F.lit(-low)), F.lit(high))
+    s = _per_sequence(tokens, seq, k=sign * F.least(sign * k, sign * clip), adv=F.col("adv"))
+    return s.agg(F.avg(-F.col("adv") / (F.col("m") + 1e-8) * F.exp(F.col("k") / (F.col("m") + 1e-8))).alias("loss"))
+
+
 def eos_mask(ids: Column, eos: int) -> Column:
     """1 up to and including the first end token."""
     at = F.array_position(ids, eos)

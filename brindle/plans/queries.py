@@ -146,6 +146,24 @@ def _(spark, d):
     return one.crossJoin(A.aggregate_loss(e, "user_id", "loss", "mask", "token-mean").select(F.round("loss", 5).alias("token_mean")))  # one row each
 
 
+TOKENS = "select user_id, value % 3 / 8 as logp, value % 5 / 8 as old, event_id % 7 - 3.0 as adv, case when event_id % 4 = 0 then 0 else 1 end as mask from events"
+
+
+def _tokens(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    return t(spark, d, "events").select("user_id", (v % 3 / 8).alias("logp"), (v % 5 / 8).alias("old"), (i % 7 - F.lit(3.0)).alias("adv"), F.when(i % 4 == 0, 0).otherwise(1).alias("mask"))
+
+
+@query("policy_loss_gspo", f"with t as ({TOKENS}), s as (select user_id, exp(least(sum((logp - old) * mask) / greatest(sum(mask), 1), 10)) as r, sum(mask) as m from t group by 1), l as (select t.user_id, m, sum(greatest(-adv * r, -adv * least(greatest(r, 0.8), 1.2)) * mask) as w from t join s using (user_id) group by 1, 2) select round(avg(w / (m + 1e-8)), 5) as loss from l")
+def _(spark, d):
+    return A.sequence_ratio_loss(_tokens(spark, d), "user_id").select(F.round("loss", 5).alias("loss"))
+
+
+@query("policy_loss_geo_mean", f"with t as ({TOKENS}), k as (select user_id, mask, adv, case when adv > 0 then least(logp - old, 0.2) when adv < 0 then greatest(logp - old, -0.2) else 0 end as k from t), s as (select user_id, sum(mask) + 1e-8 as m, sum(k * mask) as k, sum(adv * mask) as adv from k group by 1) select round(avg(-adv / m * exp(k / m)), 5) as loss from s")
+def _(spark, d):
+    return A.geometric_mean_loss(_tokens(spark, d), "user_id").select(F.round("loss", 5).alias("loss"))
+
+
 @query("compose_text", "with s as (select doc_id, trim(source) as p, trim(lang) as q, 'Work in ' || lang || '.' as b, n_chars::varchar as a from documents) select doc_id, '<question> ' || p || ' ' || q || ' </question> <solution> ' || b || ' </solution> <answer> ' || a || ' </answer>' as composed from s")
 def _(spark, d):
     s = F.concat(F.lit("Work in "), "lang", F.lit(". Answer: "), F.col("n_chars").cast("string"), F.lit(".\nend"))
