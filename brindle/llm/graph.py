@@ -49,8 +49,12 @@ def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scrat
     found, and a large group of copies around a typical member costs a pair per member."""
     p, q = ratio
     fits = lambda x, y: (F.least(x, y) * q) >= (F.greatest(x, y) * p)
-    stats = postings.groupBy("bucket").agg(F.count("id").alias("n"), F.max(F.struct("weight", "id", "size")).alias("lead")).where("n > 1")
-    shared = scratch.table(postings.join(stats, "bucket").select("bucket", "id", "size", "n", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")), "shared")
+    # most buckets hold one id: they go before the leads, whose structs want a sort, are found
+    counts = postings.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
+    multi = scratch.table(postings.join(counts, "bucket").select("bucket", "id", "size", "weight", "n"), "multi")
+    leads = multi.groupBy("bucket").agg(F.max(F.struct("weight", "id", "size")).alias("lead"))
+    shared = scratch.table(multi.join(leads, "bucket").select("bucket", "id", "size", "n", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")), "shared")
+    scratch.drop(multi)
     star = shared.where(F.col("id") != F.col("lead")).where(fits(F.col("size"), F.col("lead_size"))).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     few = shared.where(F.col("n").between(3, small))
     x = few.select("bucket", F.col("id").alias("a"), F.col("size").alias("sa"))
