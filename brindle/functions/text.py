@@ -83,3 +83,29 @@ def infer_lengths(source: Column, target: Column, cut: Column) -> tuple[Column,
 def categorize(op: Column, threshold: float | None) -> Column:
     """`ood` above the threshold; without either of the two `id`."""
     return F.when(op > threshold, "ood").otherwise("id") if threshold is not None else F.lit("id")
+
+
+def result_line(line: Column) -> dict[str, Column]:
+    """Fields of `length: L, op: N, acc: A[, template: T, mode: M, num_examples: K]` (N: for op: too)."""
+    part = lambda name: F.nullif(F.regexp_extract(line, rf"(?:^|, *)(?:{name}): *([^,]*)", 1), F.lit(""))
+    kinds = {"length": ("length", "int"), "n": ("op|N", "int"), "accuracy": ("acc", "double"), "template": ("template", "string"), "mode": ("mode", "string"), "num_examples": ("num_examples", "int")}
+    return {k: strip(part(name)).try_cast(kind) for k, (name, kind) in kinds.items()}
+
+
+def render_chat(turns: Column, slots: dict[str, str]) -> Column:
+    """Turns (array of role and content) as one text: a role's slot with the content in place of `{}`.
+    Turns of a role without a slot are left out."""
+    def one(turn):
+        out = F.lit(None).cast("string")
+        for role, slot in slots.items():
+            head, tail = slot.split("{}")
+            out = F.when(turn["role"] == role, F.concat(F.lit(head), turn["content"], F.lit(tail))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(turns, one), "")
+
+
+def few_shot(question: Column, choices: dict[str, Column], answer: Column | None = None) -> Column:
+    """A multiple-choice question as text: the question, a line a choice, `Answer:` and, of an example, its answer."""
+    lines = [question, *[F.concat(F.lit(f"{k}. "), c) for k, c in choices.items()], F.concat(F.lit("Answer: "), answer) if answer is not None else F.lit("Answer:")]
+    return F.concat_ws("\n", *lines)

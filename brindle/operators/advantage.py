@@ -134,3 +134,22 @@ def eos_mask(ids: Column, eos: int) -> Column:
 
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float) -> Column:
     return F.least(-(length - (most - buffer)) / buffer * factor, F.lit(0.0))
+
+
+def gpg_loss(tokens: DataFrame, seq: str, mode: str = "token-mean") -> DataFrame:
+    """Plain policy-gradient loss of tokens (seq, logp, adv, mask): -logp * adv."""
+    return aggregate_loss(tokens.withColumn("loss", -F.col("logp") * F.col("adv")), seq, "loss", "mask", mode)
+
+
+def kl_cov_loss(tokens: DataFrame, seq: str, order: list[str], share: float = 0.0002, coef: float = 1.0, mode: str = "token-mean") -> DataFrame:
+    """Policy loss of tokens (seq, logp, old, adv, mask): the share of unmasked tokens with the largest
+    covariance of advantage and logp, one at least, pays coef * |logp - old| on top. `order` names the
+    token and decides ties. Two passes over the tokens give count, means and the tokens chosen."""
+    valid = tokens.where("mask > 0")
+    n, adv, logp = valid.agg(F.count("adv"), F.avg("adv"), F.avg("logp")).first()
+    cov = (F.col("adv") - F.lit(adv)) * (F.col("logp") - F.lit(logp))
+    top = valid.select(*order, cov.alias("cov")).orderBy(F.desc("cov"), *order).limit(max(1, int(n * share)) if n else 0)
+    k = F.col("logp") - F.col("old")
+    out = tokens.join(top.select(*order, F.lit(1.0).alias("hit")), order, "left")
+    out = out.withColumn("loss", -F.col("adv") * F.exp(k) + F.coalesce("hit", F.lit(0.0)) * coef * F.abs(k))
+    return aggregate_loss(out, seq, "loss", "mask", mode)

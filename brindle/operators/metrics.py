@@ -61,3 +61,69 @@ def validation(df: DataFrame, source: str, uid: str, value: str) -> DataFrame:
     """mean@N and population std@N by (source, uid), then their mean by source."""
     one = df.groupBy(source, uid).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
     return one.groupBy(source).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("s"), 6).alias("std"), F.count(F.lit(1)).alias("uids"))
+
+
+def solved_views(results: DataFrame, template: str, op: str, prompt: list[str], ks: list[int]) -> DataFrame:
+    """Share of prompts first solved below rank k, by (template, op), by either and in all.
+
+    results: (template, op, prompt.., perfect, sample_rank). Prompts are reduced once, before the cube."""
+    first = results.groupBy(template, op, *prompt).agg(F.min(F.when(F.col("perfect"), F.col("sample_rank"))).alias("rank"))
+    share = [F.round(F.avg(F.coalesce(F.col("rank") < k, F.lit(False)).cast("int")), 6).alias(f"pass_{k}") for k in ks]
+    return first.cube(template, op).agg(F.count(F.lit(1)).alias("prompts"), *share)
+
+
+def counters(df: DataFrame, template: str, **flags: Column) -> DataFrame:
+    """Rows and true flags by template and in all (template null); rows without a template count as `__none__`."""
+    named = df.withColumn("template", F.coalesce(F.nullif(F.col(template), F.lit("")), F.lit("__none__")))
+    return named.rollup("template").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+
+
+def unused_gold(gold: DataFrame, used: DataFrame, key: list[str]) -> DataFrame:
+    """Gold keys that nothing used: their number less the distinct used ones, 0 at least."""
+    a, b = gold.agg(F.count(F.lit(1)).alias("gold")), used.agg(F.count_distinct(*key).alias("used"))
+    return a.crossJoin(b).select("gold", "used", F.greatest(F.col("gold") - F.col("used"), F.lit(0)).alias("unused"))  # one row each
+
+
+def explained(df: DataFrame, by: list[str], returns: Column, values: Column) -> DataFrame:
+    """Explained variance of a value function: 1 - var(returns - values) / (var(returns) + 1e-5)."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(1 - F.var_samp(returns - values) / (F.var_samp(returns) + 1e-5), 5).alias("explained"))
+
+
+def source_reward(df: DataFrame, source: str, row: str, reward: str) -> DataFrame:
+    """Mean reward by source: over a row's responses first, then over rows."""
+    one = df.groupBy(source, row).agg(F.avg(reward).alias("r"))
+    return one.groupBy(source).agg(F.count("r").alias("rows"), F.round(F.avg("r"), 6).alias("reward"))
+
+
+def split_of_sources(df: DataFrame, source: str, value: str, id_max: int) -> DataFrame:
+    """Mean value by whether the whole number that ends a source's name is at most id_max; names without one are left out."""
+    op = F.regexp_extract(source, r"(\d+)$", 1).try_cast("int")
+    return df.withColumn("__op", op).where("__op is not null").groupBy(F.when(F.col("__op") <= id_max, "id").otherwise("ood").alias("split")).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def perplexity(tokens: DataFrame, seq: str, nll: str, mask: str) -> DataFrame:
+    """Mean over sequences of exp(masked mean loss); sequences without unmasked tokens are left out."""
+    one = tokens.groupBy(seq).agg(F.sum(F.col(nll) * F.col(mask)).alias("s"), F.sum(mask).alias("m")).where("m > 0")
+    return one.agg(F.count("m").alias("sequences"), F.round(F.avg(F.exp(F.col("s") / F.col("m"))), 5).alias("perplexity"))
+
+
+def choice_accuracy(df: DataFrame, category: str, scores: dict[str, Column], gold: Column) -> DataFrame:
+    """Percentage by category, and of all as `Average`, of rows whose best choice (ties: the first) is gold."""
+    best, pick = F.greatest(*scores.values()), F.lit(None).cast("string")
+    for name, c in reversed(scores.items()):
+        pick = F.when(c == best, name).otherwise(pick)
+    out = df.select(F.col(category).alias("category"), F.coalesce(pick == gold, F.lit(False)).cast("int").alias("ok")).where("category is not null")
+    return out.rollup("category").agg(F.count("ok").alias("n"), F.round(100 * F.avg("ok"), 2).alias("accuracy")).withColumn("category", F.coalesce("category", F.lit("Average")))
+
+
+def length_spine(df: DataFrame, group: str, text: str, low: int = 2, high: int = 20) -> DataFrame:
+    """Rows and mean characters of each group low..high, groups without rows included."""
+    spine = df.sparkSession.range(low, high + 1).withColumnRenamed("id", "group")
+    one = df.groupBy(F.col(group).cast("long").alias("group")).agg(F.count(text).alias("n"), F.round(F.avg(F.length(text)), 4).alias("mean"))
+    return spine.join(one, "group", "left").select("group", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def context_totals(df: DataFrame, context: str, difficulty: str, op: str, text: str) -> DataFrame:
+    """Rows, total and mean characters by context, by difficulty within, and by op within (null: all)."""
+    n = F.length(text)
+    return df.rollup(context, difficulty, op).agg(F.count(n).alias("n"), F.sum(n).alias("chars"), F.round(F.avg(n), 4).alias("mean"))

@@ -293,3 +293,91 @@ def _(spark, d):
 def _(spark, d):
     x = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 256).alias("batch"), F.col("doc_id").alias("row"), F.length("text").cast("long").alias("length"))
     return B.packed(x, "batch", "row", "length", B.karmarkar_karp, 8)
+
+
+RESULTS = "select l_linestatus as template, l_linenumber as op, l_suppkey as prompt, l_returnflag = 'R' as perfect, l_partkey % 8 as sample_rank from lineitem"
+
+
+@query("solved_views", f"with f as (select template, op, prompt, min(case when perfect then sample_rank end) as r from ({RESULTS}) group by 1, 2, 3) select template, op, count(*) as prompts, round(avg(case when r < 1 then 1 else 0 end), 6) as pass_1, round(avg(case when r < 4 then 1 else 0 end), 6) as pass_4 from f group by cube (template, op)")
+def _(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_linestatus").alias("template"), F.col("l_linenumber").alias("op"), F.col("l_suppkey").alias("prompt"), (F.col("l_returnflag") == "R").alias("perfect"), (F.col("l_partkey") % 8).alias("sample_rank"))
+    return M.solved_views(x, "template", "op", ["prompt"], [1, 4])
+
+
+@query("scoring_counters", "select template, count(*) as total, count(*) filter (l_quantity > 25) as big, count(*) filter (l_discount = 0) as plain from (select *, case when l_returnflag = 'N' then '__none__' else l_returnflag end as template from lineitem) group by rollup (template)")
+def _(spark, d):
+    x = t(spark, d, "lineitem").withColumn("tpl", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise(""))
+    return M.counters(x, "tpl", big=F.col("l_quantity") > 25, plain=F.col("l_discount") == 0)
+
+
+@query("unused_gold", "select gold, used, greatest(gold - used, 0) as unused from (select count(*) as gold from customer), (select count(distinct o_custkey) as used from orders)")
+def _(spark, d):
+    return M.unused_gold(t(spark, d, "customer"), t(spark, d, "orders"), ["o_custkey"])
+
+
+@query("explained_variance", "select l_linenumber, count(*) as n, round(1 - var_samp(l_quantity - l_tax * 100) / (var_samp(l_quantity) + 1e-5), 5) as explained from lineitem group by 1")
+def _(spark, d):
+    return M.explained(t(spark, d, "lineitem"), ["l_linenumber"], F.col("l_quantity"), F.col("l_tax") * 100)
+
+
+@query("source_reward", "select event_type, count(*) as rows, round(avg(r), 6) as reward from (select event_type, user_id, avg(value) as r from events group by 1, 2) group by 1")
+def _(spark, d):
+    return M.source_reward(t(spark, d, "events"), "event_type", "user_id", "value")
+
+
+@query("split_of_sources", "select case when s_suppkey <= 5 then 'id' else 'ood' end as split, count(*) as n, round(avg(s_acctbal), 6) as mean from supplier group by 1")
+def _(spark, d):
+    x = t(spark, d, "supplier").select(F.concat(F.lit("op"), "s_suppkey").alias("source"), "s_acctbal")
+    return M.split_of_sources(x, "source", "s_acctbal", 5)
+
+
+@query("perplexity", "with s as (select user_id, sum(value % 3 * m) as s, sum(m) as m from (select *, case when event_id % 4 = 0 then 0 else 1 end as m from events) group by 1 having sum(m) > 0) select count(*) as sequences, round(avg(exp(s / m)), 5) as perplexity from s")
+def _(spark, d):
+    x = t(spark, d, "events").select("user_id", (F.col("value") % 3).alias("nll"), F.when(F.col("event_id") % 4 == 0, 0).otherwise(1).alias("m"))
+    return M.perplexity(x, "user_id", "nll", "m")
+
+
+@query("choice_accuracy", "with p as (select event_type, case when user_id % 7 >= event_id % 5 and user_id % 7 >= event_id % 3 then 'A' when event_id % 5 >= event_id % 3 then 'B' else 'C' end as pick from events) select coalesce(event_type, 'Average') as category, count(*) as n, round(100 * avg(case when pick = 'A' then 1 else 0 end), 2) as accuracy from p where event_type is not null group by rollup (event_type)")
+def _(spark, d):
+    u, e = F.col("user_id"), F.col("event_id")
+    return M.choice_accuracy(t(spark, d, "events"), "event_type", {"A": u % 7, "B": e % 5, "C": e % 3}, F.lit("A"))
+
+
+@query("length_spine", "with g as (select doc_id % 25 as g, count(text) as n, round(avg(length(text)), 4) as mean from documents group by 1) select s.s as \"group\", coalesce(n, 0) as n, coalesce(mean, 0) as mean from range(2, 21) as s(s) left join g on g = s")
+def _(spark, d):
+    return M.length_spine(t(spark, d, "documents").withColumn("g", F.col("doc_id") % 25), "g", "text")
+
+
+@query("context_totals", "select source, lang, k, count(length(text)) as n, sum(length(text))::bigint as chars, round(avg(length(text)), 4) as mean from (select *, doc_id % 3 as k from documents) group by rollup (source, lang, k)")
+def _(spark, d):
+    return M.context_totals(t(spark, d, "documents").withColumn("k", F.col("doc_id") % 3), "source", "lang", "k", "text")
+
+
+@query("policy_loss_gpg", f"select round(sum(-logp * adv * mask) / sum(mask), 5) as loss from ({TOKENS})")
+def _(spark, d):
+    return A.gpg_loss(_tokens(spark, d), "user_id").select(F.round("loss", 5).alias("loss"))
+
+
+@query("policy_loss_kl_cov", "with t as (select event_id, user_id, value % 3 / 8 as logp, value % 5 / 8 as old, event_id % 7 - 3.0::double as adv, case when event_id % 4 = 0 then 0 else 1 end as mask from events), v as (select *, (adv - avg(adv) over ()) * (logp - avg(logp) over ()) as cov, count(*) over () as n from t where mask > 0), h as (select event_id from v qualify row_number() over (order by cov desc, event_id) <= greatest(1, floor(n * 0.05))) select round(sum(mask * (-adv * exp(logp - old) + case when event_id in (select event_id from h) then abs(logp - old) else 0 end)) / sum(mask), 5) as loss from t")
+def _(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    x = t(spark, d, "events").select("event_id", "user_id", (v % 3 / 8).alias("logp"), (v % 5 / 8).alias("old"), (i % 7 - F.lit(3.0)).alias("adv"), F.when(i % 4 == 0, 0).otherwise(1).alias("mask"))
+    return A.kl_cov_loss(x, "user_id", ["event_id"], 0.05).select(F.round("loss", 5).alias("loss"))
+
+
+@query("result_lines", "select o_orderkey, (o_custkey % 9)::int as length, (o_orderkey % 20)::int as n, 0.25::double as accuracy, o_orderstatus as template, null::varchar as mode, 128 as num_examples from orders")
+def _(spark, d):
+    line = F.format_string("length: %d, op: %d, acc: 0.25, template: %s, num_examples: 128", F.col("o_custkey") % 9, F.col("o_orderkey") % 20, F.col("o_orderstatus"))
+    return t(spark, d, "orders").select("o_orderkey", *[c.alias(k) for k, c in X.result_line(line).items()])
+
+
+@query("chat_render", "select conv_id, string_agg(case role when 'user' then '<u>' || text || '</u>' when 'assistant' then '<a>' || text || '</a>' end, '' order by turn, role, text) as rendered from conversations where role in ('user', 'assistant') and text is not null group by 1")
+def _(spark, d):
+    x = t(spark, d, "conversations").where("role in ('user', 'assistant') and text is not null")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return x.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", X.render_chat(F.col("turns"), {"user": "<u>{}</u>", "assistant": "<a>{}</a>"}).alias("rendered"))
+
+
+@query("few_shot", "select p_partkey, p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'Answer: B' as example from part")
+def _(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.few_shot(F.col("p_name"), {"A": F.col("p_brand"), "B": F.col("p_type")}, F.lit("B")).alias("example"))
