@@ -17,7 +17,8 @@ from .vectors import unit, usable
 
 @dataclass
 class Index:
-    """centroids: cells x d; books: parts x codes x d / parts; probes: cells that a query looks into."""
+    """centroids: cells x d; books: parts x codes x d / parts; probes: cells that a query looks into;
+    keep: rows by code whose exact products set the bound of the rerank."""
 
     centroids: np.ndarray
     books: np.ndarray
@@ -63,10 +64,42 @@ def approximate(q: np.ndarray, cell: int, codes: np.ndarray, index: Index) -> np
     return out
 
 
+def decoded(cell: int, codes: np.ndarray, index: Index) -> np.ndarray:
+    """What the codes of a cell's rows stand for."""
+    return index.centroids[cell] + np.concatenate([index.books[j][codes[:, j]] for j in range(len(index.books))], axis=1)
+
+
+def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, near: np.ndarray, error: np.ndarray, k: int, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k rows of the largest inner products, own ids left out, and these products.
+
+    near: products with the rows' codes; error: how far each row is from its code, the most by which a
+    product with a unit query can differ. The rows of the `keep` best codes are compared first; every row
+    that by its error can still reach their k-th is compared too, so no near row is lost to its code."""
+    slack, out = 1e-9, []
+    near = np.where(own[:, None] == ids[None], -9.0, near)
+    keep = min(max(keep, k), len(ids))
+    best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+    first = np.einsum("qd,qkd->qk", q, x[best])
+    first[np.take_along_axis(near, best, 1) <= -9] = -9
+    least = -np.partition(-first, k - 1, axis=1)[:, k - 1] if keep >= k else np.full(len(q), -9.0)
+    may = (near > -9) & (near + error >= least[:, None] - slack)
+    rows = np.flatnonzero(may.any(axis=0))
+    score = np.where(may[:, rows], q @ x[rows].T, -9.0)
+    if len(rows) > k:
+        least = np.maximum(least, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+    for i in range(len(q)):
+        at = rows[(score[i] > -9) & (score[i] >= least[i] - slack)]
+        value = np.einsum("d,kd->k", q[i], x[at])
+        order = np.lexsort((ids[at], -value))[:k]
+        out.append((at[order], value[order]))
+    return out
+
+
 def train(vectors: DataFrame, k: int, sample: int = 12_000, cells: int = 64, parts: int = 16, goal: float = 0.95, seed: int = 5) -> Index | None:
     """An index model from about `sample` vectors, chosen by a hash of their id: the bound on what
-    training reads. Probes and the rerank's length are the least for which the sample's own queries
-    find `goal` of their k nearest, by brute force over the sample."""
+    training reads. Probes are the least, and some more, for which rows of the sample find `goal` of their
+    k nearest, by brute force over the sample. Each quarter of the asked rows, by the product with their
+    k-th nearest, must reach the goal, so that rows in dense groups are not outvoted by the others."""
     n = vectors.count()
     if not n:
         return None
@@ -82,14 +115,20 @@ def train(vectors: DataFrame, k: int, sample: int = 12_000, cells: int = 64, par
     books = [kmeans(r[:, j], 256, 6, rng) for j in range(parts)]
     width = max(len(b) for b in books)
     index = Index(centroids, np.stack([np.concatenate([b, np.repeat(b[:1], width - len(b), 0)]) for b in books]), len(centroids), 4 * k)
-    # the audit: exact neighbours of some rows in the sample, how deep their cells lie, and their ranks by code
-    asked = rng.choice(len(x), min(len(x), 200), replace=False)
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -9
-    best = np.argsort(-s, axis=1)[:, :k]
-    order = np.argsort((centroids * centroids).sum(1)[None] - 2 * x[asked] @ centroids.T, axis=1)
-    depth = np.argmax(order[:, :, None] == near[best][:, None, :], axis=1)
-    index.probes = int(min(len(centroids), np.quantile(depth, goal) + 1 + len(centroids) // 16))
+    # the audit: exact neighbours of some rows in the sample, and how deep their cells lie
+    asked = rng.choice(len(x), min(len(x), 1000), replace=False)
+    depth, kth = [], []
+    for at in range(0, len(asked), 250):
+        rows = asked[at : at + 250]
+        s = x[rows] @ x.T
+        s[np.arange(len(rows)), rows] = -9
+        best = np.argsort(-s, axis=1)[:, :k]
+        order = np.argsort((centroids * centroids).sum(1)[None] - 2 * x[rows] @ centroids.T, axis=1)
+        depth.append(np.argmax(order[:, :, None] == near[best][:, None, :], axis=1))
+        kth.append(np.take_along_axis(s, best[:, -1:], 1)[:, 0])
+    depth = np.concatenate(depth)[np.argsort(np.concatenate(kth))]
+    deepest = max(np.quantile(part, goal) for part in np.array_split(depth, 4) if len(part))
+    index.probes = int(min(len(centroids), deepest + 1 + len(centroids) // 16))
     return index
 
 
@@ -98,7 +137,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, index: Index, part_ro
 
     Every vector is dealt to its cell, and each cell to parts of about part_rows rows by a hash, so that
     a cell of a third of all rows is many groups; queries go to the parts of the cells they look into,
-    in blocks. Each group ranks its rows by code for each query, reranks the best exactly and gives k rows a query at most."""
+    in blocks. Each group ranks its rows by code for each query, compares exactly all that the error of their codes
+    lets be among the best, and gives k rows a query at most."""
     spark = vectors.sparkSession
     model = spark.sparkContext.broadcast(index)
     scratch = Scratch(spark, "ann")
@@ -132,19 +172,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, index: Index, part_ro
         m, ids, out = model.value, left["vec_id"].to_numpy(), []
         raw = np.stack(left["v"].to_numpy())
         x, codes = unit(raw), np.stack([np.frombuffer(c, np.uint8) for c in left["codes"]])
+        cell = int(left["cell"].iloc[0])
+        error = np.sqrt(((x - decoded(cell, codes, m)) ** 2).sum(axis=1))
         for at in range(0, len(right), 256):
             block = right.iloc[at : at + 256]
             q, own = unit(np.stack(block["q"].to_numpy())), block["query_id"].to_numpy()
-            near = approximate(q, int(left["cell"].iloc[0]), codes, m)
-            near[own[:, None] == ids[None]] = -9
-            keep = min(m.keep, len(ids))
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            score = np.einsum("qd,qkd->qk", q, x[best])
-            score[own[:, None] == ids[best]] = -9
-            for i in range(len(q)):
-                order = np.lexsort((ids[best[i]], -score[i]))[:k]
-                order = order[score[i][order] > -9]
-                out.append((np.full(len(order), own[i]), ids[best[i]][order], score[i][order]))
+            for i, (rows, score) in enumerate(nearest(q, own, x, ids, approximate(q, cell, codes, m), error, k, m.keep)):
+                out.append((np.full(len(rows), own[i]), ids[rows], score))
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": np.clip(s, -1.0, 1.0)})
 

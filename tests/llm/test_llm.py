@@ -203,6 +203,28 @@ def test_vectors(spark):
     assert neardup.op9(none).count() == ann.op7(none).count() == 0
 
 
+def test_neighbours_in_dense_groups(spark):
+    """Queries inside large groups of near copies, where codes can't order the members."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for lo, hi, spread in ((0, 1000, 0.1), (1000, 1300, 0.3), (1300, 1500, 0.02)):
+        x[lo:hi] = x[lo] + spread * x[lo:hi]
+    x[1500:1530] = x[1500]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    found = {}
+    for r in ann.op7(frame).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    for lo, hi in ((0, 1000), (1000, 1300), (1300, 1500), (1500, 1530)):
+        own = range(lo, hi, 50)
+        right = [v >= np.sort(s[q])[-5] - 1e-9 for q in own for v in found[q].values()]
+        assert len(right) == 5 * len(own) and sum(right) >= 0.95 * len(right), (lo, hi, sum(right), len(right))
+    assert sorted(found[1500]) == [1501, 1502, 1503, 1504, 1505]
+
+
 def test_language(spark, empty):
     rng = np.random.default_rng(6)
     kinds = {"aa": ["the", "ing", "wh"], "bb": ["sch", "ung", "zu"]}
