@@ -16,13 +16,17 @@ from .vectors import unit, usable
 
 #: Links of a node in each layer (twice that in the lowest), and the least and most beam.
 LINKS, BEAM, WIDEST = 12, 24, 1 << 14
+#: Rows that an audit asks at most, and the widest beam that it tries before a shard is compared row by row.
+ASKED, TRIED = 2048, 4 * BEAM
 
 
 def build(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     """Layers of a graph over unit rows, highest first: each (nodes x links) holds row numbers, -1 for
     none; a layer's nodes are the first rows of the one below, each of which is in it with chance
     1 / LINKS. Links follow the construction's heuristic: nearest first, one only if it is nearer
-    to the node than to all links chosen before; the nearest others fill up."""
+    to the node than to all links chosen before; the nearest others fill up. In each layer as many
+    columns of reverse links follow, of the farthest rows that link to the node, so that groups whose own links
+    stay inside can be left."""
     sizes = [len(x)]
     while sizes[-1] > 4 * LINKS:
         sizes.append(max(LINKS, sizes[-1] // LINKS))
@@ -49,10 +53,25 @@ def build(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
                 n_taken += clear
             rank = np.argsort(~taken, axis=1, kind="stable")[:, :links]
             out[at : at + len(s)] = np.take_along_axis(near, rank, 1)
-        layers.append(out)
+        layers.append(np.concatenate([out, reverse(out, x)], axis=1))
     return layers
 
 
+def reverse(links: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(nodes x links): for each node the farthest rows that link to it and that it has no link to, -1 for none."""
+    n, width = links.shape
+    a, b = np.repeat(np.arange(n), width), links.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    new = ~np.isin(b.astype(np.int64) * n + a, a.astype(np.int64) * n + b)
+    a, b = a[new], b[new]
+    order = np.lexsort((np.einsum("nd,nd->n", x[a], x[b]), b))
+    a, b = a[order], b[order]
+    rank = np.arange(len(b)) - np.searchsorted(b, b)
+    out = np.full((n, width), -1, np.int32)
+    out[b[rank < width], rank[rank < width]] = a[rank < width]
+    return out
+
+
 def search(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The `beam` best rows found for each query and their cosines, best first; -1 where fewer are found.
     All queries walk in step: each opens its best unopened row until its beam holds none."""
@@ -93,12 +112,13 @@ def search(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], beam: int) ->
 
 
 def within(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of all found with cosine >= least. A query whose beam is full of such rows goes again
-    with a beam of four times the width; past WIDEST or half the shard it is compared with every row."""
+    """(query, row) of those found with cosine >= least, each once. A query whose beam is full of such rows goes again
+    with a beam of four times the width; past WIDEST or half the shard, or where a walk would cost as much
+    (each of its comparisons as much as some four of a product of matrices), it is compared with every row."""
     found, todo = [], np.arange(len(q))
     while len(todo):
         full = []
-        if beam >= min(WIDEST, len(x) / 2):
+        if beam >= min(WIDEST, len(x) / 2) or 4 * beam * layers[-1].shape[1] >= len(x):
             for at in range(0, len(todo), 1024):
                 i, j = np.nonzero(q[todo[at : at + 1024]] @ x.T >= least - 1e-12)
                 found.append((todo[at : at + 1024][i], j))
@@ -118,13 +138,26 @@ def within(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], least: float,
     return a[exact >= least], b[exact >= least]
 
 
-def audited(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], least: float, goal: float, rng: np.random.Generator) -> int:
-    """The least beam whose recall on some of the shard's own rows and of the queries, against brute force, is `goal`."""
-    asked = np.concatenate([q[rng.choice(len(q), min(64, len(q)), replace=False)], x[rng.choice(len(x), min(64, len(x)), replace=False)]])
-    true = (asked @ x.T >= least).sum()
-    beam = BEAM
-    while beam < len(x) and true and len(within(asked, x, layers, least, beam)[0]) < goal * true:
-        beam *= 2
+def audited(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, layers: list[np.ndarray], least: float, goal: float, rng: np.random.Generator) -> int:
+    """The least beam whose recall on some of the queries, against brute force, is `goal`; len(x), with which
+    within() compares every row, where none of up to TRIED is enough.
+
+    Each asked row with a true partner of another id counts once, by the share of its partners found.
+    Rows of up to BEAM partners and those of more must each reach the goal, so that a large group
+    can't hide what is lost outside it."""
+    asked = rng.choice(len(q), min(ASKED, len(q)), replace=False)
+    true = np.zeros(len(asked), np.int64)
+    for at in range(0, len(asked), 512):
+        rows = asked[at : at + 512]
+        true[at : at + 512] = ((q[rows] @ x.T >= least) & (own[rows][:, None] != ids[None])).sum(axis=1)
+    asked, true = asked[true > 0], true[true > 0]
+    few, beam = true <= BEAM, BEAM
+    while len(asked) and beam < len(x):
+        a, b = within(q[asked], x, layers, least, beam)
+        share = np.bincount(a[own[asked][a] != ids[b]], minlength=len(asked)) / true
+        if all(share[part].mean() >= goal for part in (few, ~few) if part.any()):
+            break
+        beam = beam * 2 if beam * 2 <= TRIED else len(x)
     return beam
 
 
@@ -163,10 +196,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, shard_rows: int =
         rng = np.random.default_rng(int(pdf["shard"].iloc[0]))
         pdf = pdf.sort_values("id").iloc[rng.permutation(len(pdf))]
         x = unit(np.stack(pdf["v"].to_numpy()))
-        layers = build(x, rng)
-        a, b = within(x, x, layers, least, audited(x, x, layers, least, goal, rng))
+        ids, layers = pdf["id"].to_numpy(), build(x, rng)
+        a, b = within(x, x, layers, least, audited(x, ids, x, ids, layers, least, goal, rng))
         label = _union(len(x), a, b)
-        ids = pdf["id"].to_numpy()
         low = np.full(len(x), np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         out = io.BytesIO()
@@ -183,7 +215,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, shard_rows: int =
         layers = [g[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in g.files))]
         x, ids, copies, group = g["x"], g["ids"], g["copies"], g["group"]
         q, own = unit(np.stack(left["v"].to_numpy())), left["id"].to_numpy()
-        a, b = within(q, x, layers, least, audited(q, x, layers, least, goal, np.random.default_rng(0)))
+        a, b = within(q, x, layers, least, audited(q, own, x, ids, layers, least, goal, np.random.default_rng(0)))
         other = own[a] != ids[b]
         a, b = a[other], b[other]
         links = np.bincount(a, copies[b], len(q)).astype(np.int64)

@@ -225,6 +225,25 @@ def test_neighbours_in_dense_groups(spark):
     assert sorted(found[1500]) == [1501, 1502, 1503, 1504, 1505]
 
 
+def test_single_links_beside_a_large_group():
+    """Links of rows outside a large group are found: what the group has can't outvote them in the audit."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:2000] = x[0] + 0.2 * x[:2000]
+    x[2000:2200] = x[2200:2400] + 0.25 * x[2000:2200]
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, layers = np.arange(len(x)), neardup.build(x, rng)
+    s = x @ x.T >= 0.9
+    np.fill_diagonal(s, False)
+    a, b = neardup.within(x, x, layers, 0.9, neardup.audited(x, ids, x, ids, layers, 0.9, 0.99, rng))
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a) and (s[a, b] | (a == b)).all()
+    got = np.bincount(a[a != b], minlength=len(x))
+    single = (s.sum(1) > 0) & (s.sum(1) < 100)
+    assert single.sum() >= 390 and (got[single] / s.sum(1)[single]).mean() >= 0.98 and (got[~single].sum() >= 0.98 * s[~single].sum())
+
+
 def test_language(spark, empty):
     rng = np.random.default_rng(6)
     kinds = {"aa": ["the", "ing", "wh"], "bb": ["sch", "ung", "zu"]}
