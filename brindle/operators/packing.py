@@ -22,6 +22,15 @@ def first_fit_decreasing(lengths: list[int], cut: int) -> list[int]:
     return out
 
 
+def whole_first_fit(lengths: list[int], cut: int) -> list[tuple[int, int, int, int]]:
+    """(index, piece, length, bin) of every piece: first the full blocks of each length, a bin each, then what
+    remains of all, by first_fit_decreasing(). A length of 0 has no piece."""
+    full = [(i, p) for i, n in enumerate(lengths) for p in range(n // cut)]
+    rest = [(i, n // cut, n % cut) for i, n in enumerate(lengths) if n % cut]
+    bins = first_fit_decreasing([n for _, _, n in rest], cut)
+    return [(i, p, cut, b) for b, (i, p) in enumerate(full)] + [(i, p, n, len(full) + b) for (i, p, n), b in zip(rest, bins, strict=True)]
+
+
 def next_fit(lengths: list[int], cut: int) -> list[int]:
     out, room, at = [], cut, 0
     for n in lengths:
@@ -60,3 +69,15 @@ def packed(df: DataFrame, batch: str, row: str, length: str, how, arg: int) -> D
         return pdf.assign(bin=how(pdf[length].tolist(), arg))[[batch, row, length, "bin"]]
 
     return df.select(batch, row, length).groupBy(batch).applyInPandas(run, schema)
+
+
+def packed_whole(df: DataFrame, batch: str, row: str, length: str, cut: int) -> DataFrame:
+    """(batch, row, piece, length, bin) of whole_first_fit() over each batch in row order; a null length is 0. Batches are bounded by their maker."""
+    schema = f"{batch} long, {row} long, piece long, {length} long, bin long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row)
+        out = pd.DataFrame(whole_first_fit(pdf[length].fillna(0).astype(int).tolist(), cut), columns=["i", "piece", length, "bin"])
+        return pd.DataFrame({batch: pdf[batch].iloc[0], row: pdf[row].to_numpy()[out["i"].to_numpy(int)], "piece": out["piece"], length: out[length], "bin": out["bin"]}).astype("int64")
+
+    return df.select(batch, row, length).groupBy(batch).applyInPandas(run, schema)

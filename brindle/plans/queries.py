@@ -285,8 +285,8 @@ ORACLE["graph_scores"] = "select n_nationkey, 0 as missing, 0 as extra, case whe
 
 @query("pack_first_fit")
 def _(spark, d):
-    x = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 1000).alias("batch"), F.col("doc_id").alias("row"), F.least(F.length("text"), F.lit(4096)).cast("long").alias("length"))
-    return B.packed(x, "batch", "row", "length", B.first_fit_decreasing, 4096)
+    x = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 1000).alias("batch"), F.col("doc_id").alias("row"), F.length("text").cast("long").alias("length"))
+    return B.packed_whole(x, "batch", "row", "length", 4096)
 
 
 @query("balance_karmarkar_karp")
