@@ -175,6 +175,36 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_lines_find_all(spark):
+    """All lines of word edit similarity 0.8 or more, against brute force: words changed, put in and left out."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for n in (5, 6, 9, 10, 11, 15, 20, 24, 30, 50, 64):
+        for _ in range(3):
+            base = prose(rng, n).split()
+            texts.append(base)
+            for e in {1, n // 5, n // 5 + 1}:
+                new = list(base)
+                for at in rng.choice(n, e, replace=False):
+                    kind = rng.integers(3)
+                    new[at] = f"c{rng.integers(99)}" if kind == 0 else "" if kind == 1 else f"{new[at]} i{rng.integers(99)}"
+                texts.append(" ".join(new).split())
+    long = [i for i, w in enumerate(texts) if len(w) >= 5]
+    links = [(a, b) for a in long for b in long if a < b and 5 * abs(len(texts[a]) - len(texts[b])) <= max(len(texts[a]), len(texts[b])) and edits(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])) // 5]
+    group = unite(range(len(texts)), links)
+    got = lines.op6(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped and r.doc_id in long} == {i for i in long if group[i] != i}
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16))
