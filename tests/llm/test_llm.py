@@ -175,6 +175,13 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_short_and_unspaced_lines(spark):
+    unspaced = "これは空白のない長い一行です"
+    rows = [(1, f"All rights reserved\n\nabc\n{unspaced}"), (2, f"all rights  reserved.\n\nabc\n{unspaced}\nAll rights served"), (3, "\n\n\n")]
+    got = {r.doc_id: r for r in lines.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "\nabc\nAll rights served" and got[2].n_dropped == 2 and got[3].text == rows[2][1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
