@@ -20,9 +20,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where
-    that is unset, as in tests on one machine."""
+    that is unset and the master is local, as in tests; a cluster without it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -43,14 +45,15 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         schema = df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t.scratch_path)
+            if hasattr(t, "scratch_path"):
+                self._delete(t.scratch_path)
 
     def _delete(self, path: str) -> None:
         try:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, release
 
@@ -36,52 +37,51 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, ratio: tuple[int, int], small: int = 12, profile: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def differing(x: Column, y: Column) -> Column:
+    """In how many bits two sketches (arrays of longs of one size) differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
+def resolve(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, wide: int = 256) -> DataFrame:
     """(id, component) of all ids that link, where ids link only if they share a bucket and verify() keeps them.
 
-    postings: (bucket, id, size, weight), a table that can be read again; each (bucket, id) once.
-    verify: DataFrame (a, b) with a < b -> those pairs that link. ratio (p, q): sizes link only if
-    q * smaller >= p * larger.
+    postings: (bucket, id), each once; one shuffle finds the buckets of several ids, and only those are
+    written. marks: DataFrame (id) -> (id, size, sketch) of these. may(size, size, sketch, sketch): False only
+    for ids that can't link. verify: DataFrame (a, b) with a < b -> a table of those pairs that link.
 
-    Buckets of up to `small` ids give all their pairs. A larger bucket first gives the pairs of its
-    member of most weight with the others (as many as it has members); where that leaves it in more than
-    one component, all pairs of different components follow. So every link between components is
-    found, and a large group of copies around a typical member costs a pair per member."""
-    p, q = ratio
-    fits = lambda x, y: (F.least(x, y) * q) >= (F.greatest(x, y) * p)
-    # most buckets hold one id: they go before the leads, whose structs want a sort, are found
-    counts = postings.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
-    multi = scratch.table(postings.join(counts, "bucket").select("bucket", "id", "size", "weight", "n"), "multi")
-    leads = multi.groupBy("bucket").agg(F.max(F.struct("weight", "id", "size")).alias("lead"))
-    shared = scratch.table(multi.join(leads, "bucket").select("bucket", "id", "size", "n", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")), "shared")
-    scratch.drop(multi)
-    star = shared.where(F.col("id") != F.col("lead")).where(fits(F.col("size"), F.col("lead_size"))).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    few = shared.where(F.col("n").between(3, small))
-    x = few.select("bucket", F.col("id").alias("a"), F.col("size").alias("sa"))
-    y = few.select("bucket", F.col("id").alias("b"), F.col("size").alias("sb"))
-    near = x.join(y, "bucket").where(F.col("a") < F.col("b")).where(fits(F.col("sa"), F.col("sb"))).select("a", "b")
-    pairs = scratch.table(star.unionByName(near).distinct(), "pairs")
+    Each shared bucket first gives the pairs of one member, its largest id, with the others: as many as it
+    has members. Where that leaves it in more than one component, all pairs of different components that
+    may() lets pass follow. So every link between components is found, a group of copies costs a pair a member,
+    and pairs of one component are not compared again. A bucket of more than `wide` such members is dealt by
+    a salt to as many tasks as it has times `wide`."""
+    one = Window.partitionBy("bucket")
+    several = postings.withColumn("n", F.count("id").over(one)).where("n > 1")
+    shared = scratch.table(several.withColumn("lead", F.max("id").over(one)).select("bucket", "id", "lead"), "shared")
     release(scratch.spark)
-    links = scratch.table(verify(pairs), "links")
+    marked = scratch.table(marks(shared.select("id").distinct()), "marks")
+    side = lambda c: marked.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    passes = may(F.col("size_a"), F.col("size_b"), F.col("sketch_a"), F.col("sketch_b"))
+    star = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = scratch.table(star.join(side("a"), "a").join(side("b"), "b").where(passes).select("a", "b"), "pairs")
+    release(scratch.spark)
+    links = verify(pairs)
     found = scratch.table(components(links, scratch), "found")
-    crowd = shared.where(F.col("n") > small)
-    named = crowd.join(found.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "size", "lead", F.coalesce("c", "id").alias("c"))
-    split = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    named = scratch.table(named.join(split, "bucket", "left_semi"), "named")
-    known = named.select("bucket", "id", "size", "c", F.lit(0).alias("inner"), F.array().cast("array<long>").alias("rest"))
-    if profile:
-        known = named.join(profile(named.select("lead", "id").distinct()), ["lead", "id"]).select(*known.columns)
-    x, y = (known.select("bucket", *[F.col(c).alias(c + side) for c in known.columns[1:]]) for side in "xy")
-    apart = (F.col("cx") != F.col("cy")) & (F.col("idx") < F.col("idy")) & fits(F.col("sizex"), F.col("sizey"))
-    if profile:
-        may = lambda shared: (F.least("innerx", "innery") + shared) * (p + q) >= (F.col("sizex") + F.col("sizey")) * p
-        apart = apart & may(F.least(F.size("restx"), F.size("resty"))) & may(F.size(F.array_intersect("restx", "resty")))
-    cross = x.join(y, "bucket").where(apart).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    cross = scratch.table(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
+    named = shared.join(found.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
+    split = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("c") / wide).cast("int").alias("salts")).where("lo < hi")
+    named = named.join(split.select("bucket", "salts"), "bucket").join(marked, "id")
+    named = scratch.table(named, "named")
+    scratch.drop(shared)
+    x = named.select("bucket", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    y = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    cross = x.join(y, (x.bucket == y.bucket) & (x.salt == y.salt) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & passes).select("a", "b")
+    cross = scratch.table(cross.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    scratch.drop(named, marked, pairs)
+    release(scratch.spark)
     if not cross.isEmpty():
-        more = scratch.table(verify(cross), "more")
+        more = verify(cross)
         if not more.isEmpty():
             found = scratch.table(components(links.unionByName(more), scratch), "found")
-    scratch.drop(shared, named)
+        scratch.drop(more)
+    scratch.drop(cross, links)
     release(scratch.spark)
     return found

@@ -1,11 +1,11 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
 Two sets of Jaccard at least t share a token among the first |x| - ceil(t |x|) + 1 of each under any
-global order of the tokens. Several orders, rare tokens first, must all hold this; candidates of the
-first order come from an equi-join on its prefix tokens, the others are intersected before exact
-verification. In a large bucket the overlap with its leading member bounds what two others can share, and
-the join leaves out pairs that can't link by it. Rarity is the count in a fixed table of hashed counters over all documents: exactness of
-the filter does not hang on it, only the number of candidates."""
+global order of the tokens. Candidates of the first order come from an equi-join on its prefix tokens. Those
+of the other orders must hold too: their prefixes are short arrays, intersected before any whole set is
+fetched. A sketch of token parities bounds by how much two sets differ at least, and rules out most of what the
+orders let pass. Exact intersection of the sets decides. Rarity is the count in a fixed table of
+hashed counters over all documents: exactness of the filters does not hang on it, only the number of candidates."""
 
 from __future__ import annotations
 
@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, release
-from .graph import resolve
+from .graph import differing, resolve
 from .shingles import U, mix, shingle_sets
 
 COUNTERS, PIECE, ORDERS = 1 << 22, 1 << 16, 3
+#: Bits of a sketch.
+BITS = 512
 
 
 def _counters(k: int):
@@ -72,69 +74,64 @@ def prefix(tokens: np.ndarray, rare: np.ndarray, order: int, percent: int) -> np
     return tokens[np.argpartition(key, n - 1)[:n]] if n < len(tokens) else tokens
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of BITS hash values whether an odd number of tokens has it, as longs: sets differ in as many tokens at
+    least as their sketches in bits."""
+    odd = np.bincount((tokens >> U(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(np.sum(tokens, dtype=U).view(np.int64)), int(np.sum(mix(tokens), dtype=U).view(np.int64))
+
+
+SIGNED = "doc_id long, n long, one long, two long, sketch array<long>, first array<long>, others array<array<int>>"
+
+
 def _signed(k: int, percent: int, rare_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = rare_var.value
         for batch in batches:
-            n, one, two, weight, first = [], [], [], [], []
+            n, one, two, sketches, first, others = [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(batch.column("text").to_pylist(), k):
                     n.append(len(s))
-                    one.append(int(np.sum(s, dtype=U).view(np.int64)))
-                    two.append(int(np.sum(mix(s), dtype=U).view(np.int64)))
-                    weight.append(int(1e4 * rare[(s % U(COUNTERS)).astype(np.int64)].mean()) if len(s) else 0)
+                    for out, x in zip((one, two), fingerprint(s), strict=True):
+                        out.append(x)
+                    sketches.append(sketch(s))
                     first.append(prefix(s, rare, 0, percent).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(weight, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "weight", "first"]
-            )
+                    # 32 bits of a token are enough to rule out: equal tokens stay equal
+                    others.append([prefix(s, rare, i, percent).astype(np.uint32).view(np.int32) for i in range(1, ORDERS)] if len(s) else None)
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((n, one, two, sketches, first, others), kinds, strict=True))], ["doc_id", "n", "one", "two", "sketch", "first", "others"])
 
     return run
 
 
 def _sets(k: int):
+    """The sets of (id, one, two, text) whose fingerprint is the row's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), k)], pa.binary())], ["id", "tokens"])
+            mine, keep = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True), []
+            with np.errstate(over="ignore"):
+                sets = list(shingle_sets(batch.column("text").to_pylist(), k))
+                keep = [i for i, (s, f) in enumerate(zip(sets, mine, strict=True)) if fingerprint(s) == f]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["id", "tokens"])
 
     return run
 
 
-def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        inner, rest = [], []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            s, lead = np.frombuffer(x, U), np.frombuffer(y, U)
-            other = np.setdiff1d(s, lead, assume_unique=True)
-            inner.append(len(s) - len(other))
-            rest.append(other.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id"), pa.array(inner, pa.int32()), pa.array(rest, pa.list_(pa.int64()))], ["lead", "id", "inner", "rest"])
-
-
-def _linked(percent: int, rare_var):
+def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, kept = rare_var.value, {}
-
-        def orders(blob: bytes) -> tuple:
-            if blob not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                s = np.frombuffer(blob, U)
-                kept[blob] = (s, [np.sort(prefix(s, rare, i, percent)) for i in range(1, ORDERS)])
-            return kept[blob]
-
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
             ok = []
-            with np.errstate(over="ignore"):
-                for p, q in zip(x, y, strict=True):
-                    (s, ps), (t, qs) = orders(p), orders(q)
-                    if not all(len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(ps, qs, strict=True)):
-                        ok.append(False)
-                        continue
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            keep = [i for i, z in enumerate(ok) if z]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                s, t = np.frombuffer(p, U), np.frombuffer(q, U)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -153,47 +150,44 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rare = spark.sparkContext.broadcast(rarity(docs, words))
-    signed = scratch.table(docs.mapInArrow(_signed(words, percent, rare), "doc_id long, n long, one long, two long, weight long, first array<long>"), "signed")
+    signed = scratch.table(docs.mapInArrow(_signed(words, percent, rare), SIGNED), "signed")
     release(spark)
     part = signed.where("n > 0 and doc_id is not null")
-    heads = part.groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.count("n").alias("copies"), F.max("weight").alias("weight"))
-    heads = scratch.table(heads, "heads")
-    first = part.join(heads.select("one", "two", "id"), ["one", "two"]).where("doc_id = id")
-    postings = first.select(F.explode("first").alias("bucket"), "id", F.col("n").alias("size"), "weight").distinct()
-    postings = scratch.table(postings, "postings")
+    once = part.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("sketch", "first", "others")])
+    heads = once = scratch.table(once, "once")
+    # a document is a vertex by its id; where ids repeat with other texts, by its set
+    distinct, ids = heads.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    vertex = F.col("doc_id") if distinct == ids else F.xxhash64("one", "two", "n")
+    heads = heads.withColumn("id", vertex)
     release(spark)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        heads_of = heads.select("id", "one", "two").join(ids, "id", "left_semi")
-        texts = docs.join(ids, docs.doc_id == ids.id).select("id", "text")
-        sets = texts.mapInArrow(_sets(words), "id long, tokens binary")
-        if not one_text:
-            # an id with several texts: the set whose fingerprint the head has
-            mine = F.udf(lambda t: [int(np.sum(np.frombuffer(t, U), dtype=U).view(np.int64)), int(np.sum(mix(np.frombuffer(t, U)), dtype=U).view(np.int64))], "array<long>")
-            sets = sets.withColumn("f", mine("tokens")).join(heads_of.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & (F.col("f")[0] == F.col("one")) & (F.col("f")[1] == F.col("two"))).select("id", "tokens").dropDuplicates(["id"])
-        return scratch.table(sets, "sets")
+    def marks(ids: DataFrame) -> DataFrame:
+        return heads.join(ids, "id", "left_semi").select("id", F.col("n").alias("size"), "sketch")
+
+    def may(m: Column, n: Column, x: Column, y: Column) -> Column:
+        return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (differing(x, y) * (100 + percent) <= (m + n) * (100 - percent))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-        out = scratch.table(joined.select("a", "b", "x", "y").mapInArrow(_linked(percent, rare), "a long, b long"), "verified")
-        scratch.drop(sets)
+        side = lambda c: heads.select(F.col("id").alias(c), F.col("others").alias(f"others_{c}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
+        for i in range(ORDERS - 1):
+            near = near.where(F.arrays_overlap(F.col("others_a")[i], F.col("others_b")[i]))
+        near = scratch.table(near.select("a", "b"), "near")
+        wanted = heads.select("id", "doc_id", "one", "two").join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+        sets = scratch.table(docs.join(wanted, "doc_id").select("id", "one", "two", "text").mapInArrow(_sets(words), "id long, tokens binary").dropDuplicates(["id"]), "sets")
         release(spark)
-        return out
-
-    def profile(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
-        joined = pairs.join(sets.withColumnRenamed("tokens", "x"), "id").join(sets.select(F.col("id").alias("lead"), F.col("tokens").alias("y")), "lead")
-        out = scratch.table(joined.select("lead", "id", "x", "y").mapInArrow(_profiled, "lead long, id long, inner int, rest array<long>"), "profile")
-        scratch.drop(sets)
+        joined = near.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
+        out = scratch.table(joined.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "verified")
+        scratch.drop(near, sets)
         release(spark)
         return out
 
-    one_text = part.count() == part.select("doc_id").distinct().count()
-    found = resolve(postings, verify, scratch, (percent, 100), profile=profile)
-    scratch.drop(postings)
-    named = heads.join(found, "id", "left").select("one", "two", F.coalesce("component", "id").alias("c"))
-    named = scratch.table(named, "named")
+    postings = heads.select(F.explode("first").alias("bucket"), "id")
+    found = resolve(postings, marks, may, verify, scratch)
+    named = heads.select("one", "two", "doc_id", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    least = named.where("component is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    named = scratch.table(named.join(least, "c", "left").select("one", "two", F.coalesce("least", "doc_id").alias("c")), "named")
+    scratch.drop(once, found)
     out = signed.select("doc_id", "n", "one", "two").join(named, ["one", "two"], "left")
     alone = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
