@@ -4,6 +4,7 @@ by every vector with beams that widen until audits pass, cosine verified, compon
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,128 +15,162 @@ from .common import Scratch, release
 from .graph import components
 from .vectors import unit, usable
 
-#: Links of a node in each layer (twice that in the lowest), and the least and most beam.
-LINKS, BEAM, WIDEST = 12, 24, 1 << 14
+#: Links that a node chooses in an upper layer (twice that in the lowest), and the least beam.
+LINKS, BEAM = 8, 24
 #: Rows that an audit asks at most, and the widest beam that it tries before a shard is compared row by row.
 ASKED, TRIED = 2048, 4 * BEAM
+#: By how much a product of unit rows in single precision can be off.
+OFF = 4e-5
 
 
-def build(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """Layers of a graph over unit rows, highest first: each (nodes x links) holds row numbers, -1 for
-    none; a layer's nodes are the first rows of the one below, each of which is in it with chance
-    1 / LINKS. Links follow the construction's heuristic: nearest first, one only if it is nearer
-    to the node than to all links chosen before; the nearest others fill up. In each layer as many
-    columns of reverse links follow, of the farthest rows that link to the node, so that groups whose own links
-    stay inside can be left."""
-    sizes = [len(x)]
-    while sizes[-1] > 4 * LINKS:
-        sizes.append(max(LINKS, sizes[-1] // LINKS))
-    layers = []
-    for n in reversed(sizes):
-        links = min(n - 1, LINKS * (2 if n == len(x) else 1))
-        out = np.full((n, max(links, 1)), -1, np.int32)
-        wide = min(n - 1, 3 * links)
-        for at in range(0, n, 512):
-            s = x[at : min(n, at + 512)] @ x[:n].T
-            rows = np.arange(len(s))
-            s[rows, at + rows] = -9
-            if not wide:
-                continue
-            near = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-            value = np.take_along_axis(s, near, 1)
-            order = np.argsort(-value, axis=1)
-            near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-            between = np.einsum("rad,rbd->rab", x[near], x[near])
-            taken, n_taken = np.zeros(near.shape, bool), np.zeros(len(s), np.int64)
-            for j in range(wide):
-                clear = (np.where(taken, between[:, j], -9).max(axis=1) < value[:, j]) & (n_taken < links - links // 3)
-                taken[:, j] = clear
-                n_taken += clear
-            rank = np.argsort(~taken, axis=1, kind="stable")[:, :links]
-            out[at : at + len(s)] = np.take_along_axis(near, rank, 1)
-        layers.append(np.concatenate([out, reverse(out, x)], axis=1))
-    return layers
+def choose(near: np.ndarray, value: np.ndarray, x: np.ndarray, links: int) -> np.ndarray:
+    """(rows x links) of candidates near (rows x wide, -1 for none) with products value: nearest first, one only if it
+    is nearer to the row than to all chosen before; the nearest others fill up."""
+    order = np.argsort(-value, axis=1, kind="stable")
+    near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+    each = x[near]
+    between = each @ each.transpose(0, 2, 1)
+    taken, n_taken = np.zeros(near.shape, bool), np.zeros(len(near), np.int64)
+    for j in range(near.shape[1]):
+        clear = (np.where(taken, between[:, j], -9).max(axis=1) < value[:, j]) & (n_taken < links - links // 3) & (near[:, j] >= 0)
+        taken[:, j] = clear
+        n_taken += clear
+    rank = np.argsort(~taken, axis=1, kind="stable")[:, :links]
+    out = np.full((len(near), links), -1, np.int32)
+    out[:, : rank.shape[1]] = np.take_along_axis(near, rank, 1)
+    return out
 
 
-def reverse(links: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(nodes x links): for each node the farthest rows that link to it and that it has no link to, -1 for none."""
-    n, width = links.shape
-    a, b = np.repeat(np.arange(n), width), links.ravel()
+def link_back(out: np.ndarray, new: np.ndarray, links: int, x: np.ndarray) -> None:
+    """Gives the rows that the new ones have chosen a link back, in the second half of out's columns; where it is full,
+    choose() picks among the old and the new."""
+    a, b = np.repeat(new, links), out[new, :links].ravel()
     a, b = a[b >= 0], b[b >= 0]
-    new = ~np.isin(b.astype(np.int64) * n + a, a.astype(np.int64) * n + b)
-    a, b = a[new], b[new]
-    order = np.lexsort((np.einsum("nd,nd->n", x[a], x[b]), b))
+    fresh = ~(out[b, :links] == a[:, None]).any(axis=1)
+    a, b = a[fresh], b[fresh]
+    if not len(a):
+        return
+    order = np.lexsort((-np.einsum("nd,nd->n", x[a], x[b]), b))
     a, b = a[order], b[order]
-    rank = np.arange(len(b)) - np.searchsorted(b, b)
-    out = np.full((n, width), -1, np.int32)
-    out[b[rank < width], rank[rank < width]] = a[rank < width]
+    node, first, n = np.unique(b, return_index=True, return_counts=True)
+    rank, own = np.arange(len(b)) - np.repeat(first, n), np.repeat(np.arange(len(node)), n)
+    for lo in range(0, len(node), 2048):
+        part = node[lo : lo + 2048]
+        mine = (own >= lo) & (own < lo + len(part)) & (rank < 2 * links)
+        more = np.full((len(part), min(int(n[lo : lo + len(part)].max()), 2 * links)), -1, np.int32)
+        more[own[mine] - lo, rank[mine]] = a[mine]
+        every = np.concatenate([out[part, links:], more], 1)
+        value = np.where(every >= 0, np.einsum("rd,rkd->rk", x[part], x[every]), -9)
+        out[part, links:] = choose(every, value, x, links)
+
+
+def grow(x: np.ndarray, n: int, links: int, upper: list[np.ndarray]) -> np.ndarray:
+    """The layer of the first n rows, below the layers of `upper`: (n x 2 links), own links and links back. Rows come
+    in batches: each looks for its nearest by the graph of those before, and in its own batch directly."""
+    out, at = np.full((n, 2 * links), -1, np.int32), 0
+    first = max(256, len(upper[-1]) if upper else 0)
+    while at < n:
+        end = min(n, first if not at else at + min(1024, at))
+        new, k = np.arange(at, end), min(end - at - 1, 2 * links)
+        near, value = np.full((len(new), max(k, 1)), -1), np.full((len(new), max(k, 1)), -9.0, np.float32)
+        for lo in range(0, len(new) if k else 0, 1024):
+            s = x[new[lo : lo + 1024]] @ x[at:end].T
+            s[np.arange(len(s)), lo + np.arange(len(s))] = -9
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            near[lo : lo + len(s)], value[lo : lo + len(s)] = best + at, np.take_along_axis(s, best, 1)
+        if at:
+            step = max(64, (1 << 24) // at)
+            found = [search(x[new[lo : lo + step]], x, [*upper, out[:at]], 2 * links) for lo in range(0, len(new), step)]
+            near, value = np.concatenate([near, np.concatenate([f[0] for f in found])], 1), np.concatenate([value, np.concatenate([f[1] for f in found])], 1)
+        for lo in range(0, len(new), 1024):
+            out[new[lo : lo + 1024], :links] = choose(near[lo : lo + 1024], value[lo : lo + 1024], x, links)
+        link_back(out, new, links, x)
+        at = end
     return out
 
 
+def build(x: np.ndarray) -> list[np.ndarray]:
+    """Layers of a graph over unit rows in random order, highest first: each (nodes x links) holds row numbers, -1
+    for none; a layer's nodes are the first rows of the one below, one of 2 LINKS of them."""
+    x = x.astype(np.float32)
+    sizes = [len(x)]
+    while sizes[-1] > 8 * LINKS:
+        sizes.append(sizes[-1] // (2 * LINKS) + 1)
+    layers: list[np.ndarray] = []
+    for n in reversed(sizes):
+        layers.append(grow(x, n, LINKS * (2 if n == len(x) else 1), layers))
+    return layers
+
+
 def search(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `beam` best rows found for each query and their cosines, best first; -1 where fewer are found.
+    """The `beam` best rows found for each query and their products, best first; -1 where fewer are found.
     All queries walk in step: each opens its best unopened row until its beam holds none."""
-    n_q = len(q)
-    ids, value = np.zeros((n_q, 1), np.int32), (q @ x[0])[:, None]
+    ids, value = np.zeros((len(q), 1), np.int32), (q @ x[0])[:, None]
     for depth, links in enumerate(layers):
-        width = beam if depth == len(layers) - 1 else 1
-        width = min(width, len(links))
-        opened = np.zeros(ids.shape, bool)
-        active = np.arange(n_q)
-        ids, value = ids[:, :width], value[:, :width]
-        opened = opened[:, :width]
-        if ids.shape[1] < width:
-            more = width - ids.shape[1]
-            ids, value = np.pad(ids, ((0, 0), (0, more)), constant_values=-1), np.pad(value, ((0, 0), (0, more)), constant_values=-9.0)
-            opened = np.pad(opened, ((0, 0), (0, more)), constant_values=True)
+        width = min(beam, len(links)) if depth == len(layers) - 1 else 1
+        seen = np.zeros((len(q), len(links) + 1), bool)  # the last column stands for none
+        seen[np.arange(len(q)), ids[:, 0]] = True
+        ids, value = np.pad(ids[:, :1], ((0, 0), (0, width - 1)), constant_values=-1), np.pad(value[:, :1], ((0, 0), (0, width - 1)), constant_values=-9.0)
+        opened, active = ids < 0, np.arange(len(q))
         while len(active):
-            a_ids, a_value, a_open = ids[active], value[active], opened[active]
-            go = np.argmax(~a_open, axis=1)
-            rows = np.arange(len(active))
-            has = ~a_open[rows, go]
-            active, a_ids, a_value, a_open, go = active[has], a_ids[has], a_value[has], a_open[has], go[has]
+            go = np.argmin(opened[active], axis=1)
+            has = ~opened[active, go]
+            active, go = active[has], go[has]
             if not len(active):
                 break
-            rows = np.arange(len(active))
-            a_open[rows, go] = True
-            new = links[a_ids[rows, go]]
-            near = np.einsum("rd,rkd->rk", q[active], x[new])
-            near[new < 0] = -9
-            near[(new[:, :, None] == a_ids[:, None, :]).any(2)] = -9
-            near[near <= a_value[:, -1:]] = -9
-            every = np.concatenate([a_value, near], 1)
-            order = np.argsort(-every, axis=1, kind="stable")[:, :width]
-            ids[active] = np.take_along_axis(np.concatenate([a_ids, np.where(near > -9, new, -1)], 1), order, 1)
-            value[active] = np.take_along_axis(every, order, 1)
-            opened[active] = np.take_along_axis(np.concatenate([a_open, near <= -9], 1), order, 1)
+            opened[active, go] = True
+            new = links[ids[active, go]]
+            r, k = np.nonzero((new >= 0) & ~seen[active[:, None], new])
+            to = new[r, k]
+            seen[active[r], to] = True
+            near = np.full(new.shape, -9.0, np.float32)
+            near[r, k] = np.einsum("nd,nd->n", q[active[r]], x[to])
+            better = near > value[active, -1:]
+            some = better.any(axis=1)
+            if not some.any():
+                continue
+            at, near, new = active[some], np.where(better, near, -9.0)[some], new[some]
+            every = np.concatenate([value[at], near], 1)
+            order = np.argsort(-every, axis=1)[:, :width]
+            value[at] = np.take_along_axis(every, order, 1)
+            ids[at] = np.take_along_axis(np.concatenate([ids[at], np.where(near > -9, new, -1)], 1), order, 1)
+            opened[at] = np.take_along_axis(np.concatenate([opened[at], near <= -9], 1), order, 1)
     return ids, value
 
 
+def _exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose product in double precision is `least` or more, given that in single precision."""
+    keep, edge = value >= least, np.flatnonzero(np.abs(value - least) <= OFF)
+    keep[edge] = np.einsum("nd,nd->n", q[a[edge]], x[b[edge]]) >= least
+    return a[keep], b[keep]
+
+
+def parts(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], least: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) of those found with cosine >= least, each once, in parts of bounded size. A query whose beam holds
+    nothing but such rows stands in a crowd: it is compared with every row."""
+    few, every = q.astype(np.float32), x.astype(np.float32)
+    crowd = [np.arange(len(q))] if beam >= len(x) else [np.zeros(0, np.int64)]
+    if beam < len(x):
+        step = max(64, (1 << 24) // len(x))
+        for at in range(0, len(q), step):
+            ids, value = search(few[at : at + step], every, layers, beam)
+            full = value[:, -1] >= least - OFF
+            crowd.append(at + np.flatnonzero(full))
+            i, j = np.nonzero((value >= least - OFF) & ~full[:, None])
+            yield _exact(q, x, at + i, ids[i, j], value[i, j], least)
+    crowd = np.concatenate(crowd)
+    step = max(16, (1 << 22) // max(1, len(x)))
+    for at in range(0, len(crowd), step):
+        part = crowd[at : at + step]
+        s = few[part] @ every.T
+        i, j = np.nonzero(s >= least - OFF)
+        yield _exact(q, x, part[i], j, s[i, j], least)
+
+
 def within(q: np.ndarray, x: np.ndarray, layers: list[np.ndarray], least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of those found with cosine >= least, each once. A query whose beam is full of such rows goes again
-    with a beam of four times the width; past WIDEST or half the shard, or where a walk would cost as much
-    (each of its comparisons as much as some four of a product of matrices), it is compared with every row."""
-    found, todo = [], np.arange(len(q))
-    while len(todo):
-        full = []
-        if beam >= min(WIDEST, len(x) / 2) or 4 * beam * layers[-1].shape[1] >= len(x):
-            for at in range(0, len(todo), 1024):
-                i, j = np.nonzero(q[todo[at : at + 1024]] @ x.T >= least - 1e-12)
-                found.append((todo[at : at + 1024][i], j))
-        else:
-            step = max(16, (1 << 22) // (beam * LINKS * 2))
-            for at in range(0, len(todo), step):
-                part = todo[at : at + step]
-                ids, value = search(q[part], x, layers, beam)
-                more = value[:, -1] >= least
-                full.append(part[more])
-                i, j = np.nonzero((value >= least - 1e-12) & ~more[:, None])
-                found.append((part[i], ids[i, j]))
-        todo, beam = np.concatenate(full) if full else todo[:0], beam * 4
-    a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
-    # the measure itself decides, in double precision
-    exact = np.einsum("nd,nd->n", q[a], x[b]) if len(a) else np.zeros(0)
-    return a[exact >= least], b[exact >= least]
+    """All of parts() at once."""
+    found = [(np.zeros(0, np.int64),) * 2, *parts(q, x, layers, least, beam)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def audited(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, layers: list[np.ndarray], least: float, goal: float, rng: np.random.Generator) -> int:
@@ -161,28 +196,32 @@ def audited(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, laye
     return beam
 
 
-def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels of the components of an undirected graph: the smallest vertex of each."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (of each vertex the least of its component so far) after the edges a - b."""
+    while len(a):
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            break
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            new = label[label]
+            if (new == label).all():
+                break
+            label = new
+    return label
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.9, shard_rows: int = 16_384, block_rows: int = 16_384, goal: float = 0.99) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.9, shard_rows: int = 1 << 17, block_rows: int = 1 << 16, goal: float = 0.99) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row. Vectors of cosine >= least link; those that are
-    null, zero or hold null or non-finite components link with nothing and keep themselves. n_links
-    counts other rows. Equal directions to the bit fall together first and count with their number.
+    null, empty, zero or hold null or non-finite components link with nothing and keep themselves, and
+    vectors of different lengths don't link. n_links counts other rows. Equal vectors fall together first and count with their number.
 
-    Shards of about shard_rows vectors get a graph each; blocks of about block_rows vectors query every
-    shard, each a group of its own. A group gives a query's number of links and one edge to each of the
-    shard's own components that it meets, never all pairs. Rows that repeat a vec_id are one vertex
-    each for links, and one for components. A null vec_id gives a row of no links and null component."""
+    Shards of up to shard_rows vectors, six at least, get a graph each; blocks of up to about block_rows vectors query every
+    shard, each a group of its own. A group gives a query's number of links, and of the rows of either side that link an edge
+    each to the least of those that they are connected with, never all pairs. Rows that repeat a vec_id are one vertex
+    each for links, and one for components. A null vec_id gives a row of no links and null component. An empty table gives no rows."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "hnsw")
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
@@ -190,43 +229,42 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, shard_rows: int =
     alike = scratch.table(fine.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("v").alias("copies")), "alike")
     n = alike.count()
     shards, blocks = max(6, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    heads = alike.select("id", "copies", "v", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int").alias("block"))
+    heads = alike.select("id", "copies", "v", F.size("v").alias("d"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int").alias("block"))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(int(pdf["shard"].iloc[0]))
-        pdf = pdf.sort_values("id").iloc[rng.permutation(len(pdf))]
+        pdf = pdf.sort_values("id", kind="stable").iloc[rng.permutation(len(pdf))]
         x = unit(np.stack(pdf["v"].to_numpy()))
-        ids, layers = pdf["id"].to_numpy(), build(x, rng)
-        a, b = within(x, x, layers, least, audited(x, ids, x, ids, layers, least, goal, rng))
-        label = _union(len(x), a, b)
-        low = np.full(len(x), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, ids)
         out = io.BytesIO()
-        np.savez(out, x=x, ids=ids, copies=pdf["copies"].to_numpy(), group=low[label], **{f"layer{i}": y for i, y in enumerate(layers)})
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [out.getvalue()]})
+        np.savez(out, x=x, ids=pdf["id"].to_numpy(), copies=pdf["copies"].to_numpy(), **{f"layer{i}": y for i, y in enumerate(build(x))})
+        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [out.getvalue()]})
 
-    graphs = scratch.table(heads.groupBy("shard").applyInPandas(index, "shard int, graph binary"), "graphs")
+    graphs = scratch.table(heads.select("id", "copies", "v", "d", "shard").groupBy("d", "shard").applyInPandas(index, "d int, shard int, graph binary"), "graphs")
 
     def query(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
         if not len(left) or not len(right):
-            return none
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
         g = np.load(io.BytesIO(right["graph"].iloc[0]))
         layers = [g[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in g.files))]
-        x, ids, copies, group = g["x"], g["ids"], g["copies"], g["group"]
+        x, ids, copies = g["x"], g["ids"], g["copies"]
         q, own = unit(np.stack(left["v"].to_numpy())), left["id"].to_numpy()
-        a, b = within(q, x, layers, least, audited(q, own, x, ids, layers, least, goal, np.random.default_rng(0)))
-        other = own[a] != ids[b]
-        a, b = a[other], b[other]
-        links = np.bincount(a, copies[b], len(q)).astype(np.int64)
-        # a row an edge; the number of links stands in the first of a query's rows
-        edges = np.unique(np.stack([a, group[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        first = np.append(True, edges[1:, 0] != edges[:-1, 0])[: len(edges)]
-        return pd.DataFrame({"id": own[edges[:, 0]], "n": np.where(first, links[edges[:, 0]], 0), "to": edges[:, 1]})
-
-    asked = heads.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = graphs.select("shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(query, "id long, n long, to long")
+        beam = audited(q, own, x, ids, layers, least, goal, np.random.default_rng(0))
+        links, label, met = np.zeros(len(q), np.int64), np.arange(len(q) + len(x)), np.zeros(len(q) + len(x), bool)
+        for a, b in parts(q, x, layers, least, beam):
+            other = own[a] != ids[b]
+            a, b = a[other], b[other]
+            links += np.bincount(a, copies[b], len(q)).astype(np.int64)
+            label = _united(label, a, len(q) + b)
+            met[a] = met[len(q) + b] = True
+        names, low = np.concatenate([own, ids]), np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, names)
+        n, to = np.concatenate([links, np.zeros(len(x), np.int64)]), low[label]
+        keep = met & ((n > 0) | (names != to))
+        return pd.DataFrame({"id": names[keep], "n": n[keep], "to": to[keep]})
+
+    asked = heads.select("id", "v", "d", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    held = graphs.select("d", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = asked.groupBy("d", "shard", "block").cogroup(held.groupBy("d", "shard", "block")).applyInPandas(query, "id long, n long, to long")
     found = scratch.table(found, "found")
     scratch.drop(graphs)
     release(spark)

@@ -236,6 +236,12 @@ def test_vectors(spark):
     assert {r.query_id for r in hits} == {0, 50, 100, 150, 200, 250} and all(abs(r.score - s[r.query_id, r.vec_id]) < 1e-9 for r in hits)
     best = {q: set(np.argsort(-s[q])[:5]) for q in range(0, 300, 50)}
     assert sum(r.vec_id in best[r.query_id] for r in hits) >= 0.9 * 30
+    # vectors of other lengths, infinite components, null and repeated ids
+    odd = spark.createDataFrame([(950, [1.0, 0.0], 0), (951, [1.0, 0.01], 0), (952, [float("inf"), 1.0], 0), (953, [], 0), (None, [1.0, 0.0], 0), (954, [1.0, 0.0], 0), (954, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
+    other = [r for r in neardup.op9(frame.unionByName(odd)).collect()]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in other if r.vec_id in got} == {i: (r.n_links, r.component_id) for i, r in got.items()}
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in other if r.vec_id not in got) == [(0, 0, None), (950, 2, 950), (951, 2, 950), (952, 0, 952), (953, 0, 953), (954, 2, 950), (954, 2, 950)]
+    assert {(r.query_id, r["rank"], r.vec_id) for r in ann.op7(frame.unionByName(odd)).collect() if r.query_id != 950} == {(r.query_id, r["rank"], r.vec_id) for r in hits}
     none = frame.where("vec_id < 0")
     assert neardup.op9(none).count() == ann.op7(none).count() == 0
 
@@ -271,7 +277,7 @@ def test_single_links_beside_a_large_group():
     x[2000:2200] = x[2200:2400] + 0.25 * x[2000:2200]
     x = x[rng.permutation(len(x))]
     x /= np.linalg.norm(x, axis=1)[:, None]
-    ids, layers = np.arange(len(x)), neardup.build(x, rng)
+    ids, layers = np.arange(len(x)), neardup.build(x)
     s = x @ x.T >= 0.9
     np.fill_diagonal(s, False)
     a, b = neardup.within(x, x, layers, 0.9, neardup.audited(x, ids, x, ids, layers, 0.9, 0.99, rng))
