@@ -55,6 +55,10 @@ class Scratch:
             if hasattr(t, "scratch_path"):
                 self._delete(t.scratch_path)
 
+    def clear(self) -> None:
+        """Removes all tables: nothing reads them any more."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -136,7 +136,7 @@ def _linked(percent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents whose sets of distinct `words`-word
     shingles have a Jaccard similarity of percent / 100 or more are linked; component_id is the
     smallest id reachable by links, its own included.
@@ -147,7 +147,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     part. Rows that repeat an id with another text are compared as texts of their own. An empty table
     gives no rows. Columns other than the two named are ignored, whatever their names."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rare = spark.sparkContext.broadcast(rarity(docs, words))
     signed = scratch.table(docs.mapInArrow(_signed(words, percent, rare), SIGNED), "signed")
@@ -197,7 +197,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each group of jaccard_groups() the document of the
     smallest doc_id stays. Rows with a null doc_id and those that link with nothing stay. Of rows that
     repeat a doc_id one stays, that of the smallest text."""
-    groups = Scratch(docs.sparkSession, "kept").table(jaccard_groups(docs, words, percent), "groups")
+    passes = Scratch(docs.sparkSession, "jaccard")
+    groups = Scratch(docs.sparkSession, "kept").table(jaccard_groups(docs, words, percent, scratch=passes), "groups")
+    passes.clear()
     known = groups.where("doc_id is not null")
     gone = known.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti")
@@ -205,7 +207,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if again.isEmpty():
         return out
     # the repeated ids' rows only go through a group; the others pass by
-    same = [c for c in docs.columns]
-    twice = out.join(again.select("doc_id"), "doc_id", "left_semi")
-    first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*same), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
-    return out.join(again.select("doc_id"), "doc_id", "left_anti").select(*same).unionByName(first)
+    twice = out.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    first = twice.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    return out.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(first)

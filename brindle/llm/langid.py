@@ -218,7 +218,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:
         cache = Rows(compute, len(langs) + 1)
         for b in batches:
             pred, score = [], []
-            for _, texts in groups(b.column("text").to_pylist()):
+            for _, texts in groups(b.column("text")):
                 chunks, place, ends = spread(texts)
                 total = sums(cache.of(chunks)[place], ends) if chunks else np.zeros((len(texts), len(langs) + 1))
                 for row in total:

@@ -17,6 +17,8 @@ from .common import WORD, Scratch
 
 #: Blocks of all sources together: the one bound on what the driver holds, beside a row a source.
 BLOCKS = 1 << 15
+#: Parts by hash of a block in which a source's quota ends.
+FINE = 1 << 12
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -59,7 +61,11 @@ def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
 
 def plan(rows: list[tuple], weights, seed: int, shards: int) -> list[tuple]:
     """rows: (source, block, words). For each block: (source, block, full, trim, shard of each pass,
-    source_size, target): `full` passes take all of it, and `trim` more words go to the boundary block."""
+    source_size, target): `full` passes take all of it, and `trim` more words go to the boundary block.
+
+    A source's quota is the number of its permuted blocks that reach its target, in each pass over them. The tree
+    splits the quotas of all sources among the shards; then each shard draws its run of every source's permuted blocks, and
+    the last block that is drawn of a source is trimmed to the target."""
     by_source: dict = {}
     for source, block, words in rows:
         by_source.setdefault(source, []).append((block, words))
@@ -67,34 +73,28 @@ def plan(rows: list[tuple], weights, seed: int, shards: int) -> list[tuple]:
     order = sorted(by_source, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
     sizes = [sum(w for _, w in by_source[s]) for s in order]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(order))])
-    rng = np.random.default_rng(seed)
-    quota, drawn = np.zeros((2, len(order)), np.int64), {}
-    for i, source in enumerate(order):
-        blocks = sorted(by_source[source])
-        left = int(round(goal[i]))
-        for turn in range(2):
-            permuted = [blocks[j] for j in rng.permutation(len(blocks))]
-            for block, words in permuted:
-                if left <= 0:
-                    break
-                drawn.setdefault((turn, i), []).append((block, words if words <= left else left))
-                quota[turn, i] += 1
-                left -= min(words, left)
-    out: dict = {}
-    for turn in range(2):
-        dealt = split_tree(quota[turn], shards, rng)
-        for i in range(len(order)):
-            shard = np.repeat(np.arange(shards), dealt[:, i])
-            for (block, words), to in zip(drawn.get((turn, i), []), shard.tolist(), strict=True):
-                out.setdefault((i, block), []).append((words, to))
+    rng, taken = np.random.default_rng(seed), {}
+    left = [int(round(g)) for g in goal]
+    for _ in range(2):
+        permuted, quota = [], np.zeros(len(order), np.int64)
+        for i, source in enumerate(order):
+            blocks = sorted(by_source[source])
+            permuted.append([blocks[j] for j in rng.permutation(len(blocks))])
+            reach = np.cumsum([w for _, w in permuted[i]])
+            quota[i] = min(len(blocks), int(np.searchsorted(reach, left[i])) + 1) if left[i] > 0 else 0
+        dealt, at = split_tree(quota, shards, rng), np.zeros(len(order), np.int64)
+        for shard, run in enumerate(dealt):
+            for i in np.flatnonzero(run):
+                for block, words in permuted[i][at[i] : at[i] + run[i]]:
+                    taken.setdefault((i, block), []).append((min(words, left[i]), shard))
+                    left[i] -= min(words, left[i])
+                at[i] += run[i]
     done = []
     for i, source in enumerate(order):
         for block, words in by_source[source]:
-            turns = out.get((i, block), [])
-            full = sum(w == words for w, _ in turns)
-            trim = sum(w for w, _ in turns if w < words)
-            to = [s for _, s in sorted(turns, key=lambda x: -x[0])] + [None] * (2 - len(turns))
-            done.append((source, block, full, trim, to[0], to[1], sizes[i], goal[i]))
+            turns = sorted(taken.get((i, block), []), key=lambda x: -x[0])
+            to = [s for _, s in turns] + [None] * (2 - len(turns))
+            done.append((source, block, sum(w == words for w, _ in turns), sum(w for w, _ in turns if w < words), to[0], to[1], sizes[i], goal[i]))
     return done
 
 
@@ -107,8 +107,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), seed: int = 17, shards: int = 64, ex
     No copies * size + part_words is above 2 * size. Sources of no words have target 0; documents of
     no words have size 0 and no copies unless their block is taken whole. Rows that repeat a doc_id and
     text are dealt alike but trimmed one by one. Null sources are one source, last in order. The same
-    rows give the same mix, however they are partitioned. Sources are few enough for a row each on the
-    driver. Columns of docs of the six names are replaced."""
+    rows give the same mix, however they are partitioned. Sources are few enough for a row each, and FINE more,
+    on the driver. An empty table gives no rows. Columns of docs of the six names are replaced; others may have any names."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     made = ["size", "source_size", "target", "copies", "part_words", "shards"]
@@ -121,38 +121,53 @@ def mix(docs: DataFrame, weights=(5, 2, 1), seed: int = 17, shards: int = 64, ex
     counts = spark.createDataFrame([(s, max(1, round(BLOCKS * n / whole))) for s, n in total.items()], "s string, blocks long")
     same = F.col("source").eqNullSafe(F.col("s"))
     block = F.pmod(F.shiftrightunsigned("key", 17), F.col("blocks"))
-    found = sized.join(F.broadcast(counts), same).groupBy("source", block.alias("block")).agg(F.sum("size").alias("words")).collect()  # at most BLOCKS rows and a source's
-    schema = T._parse_datatype_string("s string, b long, full int, trim long, one int, two int, source_size long, target double")
-    table = spark.createDataFrame(plan([tuple(r) for r in found], weights, seed, shards), schema)
+    placed = sized.join(F.broadcast(counts), same).select("source", block.alias("b"), F.pmod("key", F.lit(FINE)).alias("fine"), "size")
+    found = placed.groupBy("source", "b").agg(F.sum("size").alias("words")).collect()  # at most BLOCKS rows and a source's
+    planned = plan([tuple(r) for r in found], weights, seed, shards)
+    # where a source's quota ends within a block: of its FINE parts by hash the first are taken, one is cut
+    ends = {(r[0], r[1]): r[3] for r in planned if r[3] > 0}
+    edges = spark.createDataFrame([(s, b) for s, b in ends], "s string, e long")  # a row a source
+    inside = placed.join(F.broadcast(edges), same & (F.col("b") == F.col("e"))).groupBy("source", "b", "fine").agg(F.sum("size").alias("words")).collect()
+    cut: dict = {}
+    for r in sorted(inside, key=lambda r: r.fine):
+        room = ends[r.source, r.b] - cut.get((r.source, r.b), (0, 0, 0))[2]
+        if room > 0:
+            cut[r.source, r.b] = (r.fine, room, ends[r.source, r.b] - room + r.words)
+    rows = [(*r, *cut.get((r[0], r[1]), (None, None))[:2]) for r in planned]
+    schema = T._parse_datatype_string("s string, b long, full int, trim long, one int, two int, source_size long, target double, cut long, left long")
+    table = spark.createDataFrame(rows, schema)
     scratch.drop(sized)
-    dealt = docs.withColumn("key", key).withColumn("size", words).join(F.broadcast(counts), same).withColumn("b", block).drop("s", "blocks")
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "text", "source", key.alias("key"), words.alias("size"))
+    dealt = row.join(F.broadcast(counts), same).withColumn("block", block).drop("s")
     # one row a block, at most BLOCKS and a source's: 3 MB
-    dealt = dealt.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")) & (dealt.b == table.b), "left").drop("s").drop(table.b)
-    inner = dealt.where(F.coalesce(F.col("trim"), F.lit(0)) == 0).withColumn("part_words", F.lit(0).cast("long")).withColumn("copies", F.coalesce("full", F.lit(0)))
-    # the boundary blocks, one a source: documents by hash until the words that are left
+    dealt = dealt.join(F.broadcast(table), same & (F.col("block") == F.col("b")), "left").withColumn("fine", F.pmod("key", F.lit(FINE)))
+    here = F.coalesce(F.col("fine") == F.col("cut"), F.lit(False))
+    whole_too = F.coalesce(F.col("fine") < F.col("cut"), F.lit(False)).cast("int")
+    inner = dealt.where(~here).withColumn("part_words", F.lit(0).cast("long")).withColumn("copies", F.coalesce("full", F.lit(0)) + whole_too)
+    # the parts that are cut, one a source: documents by hash until the words that are left
     order = Window.partitionBy("source", "b").orderBy("key", "doc_id", "text")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    edge = dealt.where("trim > 0").withColumn("room", F.greatest(F.col("trim") - F.coalesce(before, F.lit(0)), F.lit(0)))
+    edge = dealt.where(here).withColumn("room", F.greatest(F.col("left") - F.coalesce(before, F.lit(0)), F.lit(0)))
     in_full = F.col("size") <= F.col("room") if exact else 2 * F.col("room") > F.col("size")
     edge = edge.withColumn("copies", F.col("full") + (in_full & (F.col("room") > 0)).cast("int"))
     edge = edge.withColumn("part_words", F.when(~in_full, F.col("room")).otherwise(0) if exact else F.lit(0).cast("long")).drop("room")
     out = inner.unionByName(edge)
     to = F.slice(F.array("one", "two"), 1, F.col("copies") + (F.col("part_words") > 0).cast("int"))
-    return out.withColumn("shards", to).select(*docs.columns, *made)
+    return out.withColumn("shards", to).select("row.*", *made)
 
 
 def shuffled(mixed: DataFrame, seed: int = 17) -> DataFrame:
     """The mix's rows, one a copy, with shard: each shard's rows together, shuffled by a hash within it.
-    The last copy of a trimmed document holds its first part_words words only."""
-    i = F.posexplode("shards").alias("__copy", "shard")
-    rows = mixed.select("*", i)
-    text = F.when(F.col("__copy") < F.col("copies"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("part_words"), F.lit(1)).cast("int")), " "))
-    rows = rows.withColumn("text", text).withColumn("__at", F.xxhash64(F.lit(seed + 1), "doc_id", "__copy"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "__at", "doc_id").drop("__copy", "__at")
+    The last copy of a trimmed document holds its first part_words words only. A column named shard is replaced."""
+    row = mixed.drop("shard").select(F.struct("*").alias("row"), F.posexplode("shards").alias("copy", "shard"))
+    text = F.when(F.col("copy") < F.col("row.copies"), F.col("row.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("row.part_words"), F.lit(1)).cast("int")), " "))
+    row = row.withColumn("at", F.xxhash64(F.lit(seed + 1), "row.doc_id", "copy")).withColumn("row", F.col("row").withField("text", text))
+    row = row.repartition("shard").sortWithinPartitions("shard", "at", "row.doc_id")
+    return row.select("row.*", "shard")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """Every document and the words of it that the mix takes."""
+    """Every document, the words of it that the mix takes, and the output shard of each copy."""
     mixed = mix(docs.select("doc_id", "text", "source"))
     taken = F.col("copies") * F.col("size") + F.col("part_words")
-    return mixed.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return mixed.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "shards")

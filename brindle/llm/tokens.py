@@ -15,8 +15,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Entries that a worker's cache holds before it starts anew.
-CACHE = 400_000
+#: Bytes, about, and entries that each of a worker's two caches holds before it starts anew.
+CACHE, ENTRIES = 12 << 20, 150_000
 #: Printable ASCII, Latin-1 and Latin Extended-A and -B letters without U+0130; of white space the three plain kinds.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-žƀ-ǃȀ-ȟ]*")
 END = "</w>"
@@ -162,6 +162,8 @@ class Coder:
         self.join = sum if counts else b"".join
         self.words: dict[str, object] = {}
         self.chunks: dict[str, object] = {"": self.join([])}
+        self.held = {"words": 0, "chunks": 0}
+        self.frequent: dict[str, object] = {}
         self.pieces = regex.compile(_pieces().pattern + "|\n").findall
         self.tok = library(path)
         # special strings are found in the raw text, longest first
@@ -182,17 +184,28 @@ class Coder:
                 out += self.values(words) if words else []
         return self.join(out)
 
+    def _room(self, name: str, more: Iterable[str], extra: int) -> dict[str, object]:
+        """The cache of that name, emptied first if what is to come would not fit. A value has as many bytes as four times its letters at most."""
+        held = getattr(self, name)
+        size = 5 * sum(map(len, more))
+        if len(held) + extra > ENTRIES or self.held[name] + size > CACHE:
+            held, self.held[name] = {"": self.join([])} if name == "chunks" else {}, 0
+            setattr(self, name, held)
+        self.held[name] += size
+        return held
+
     def of_chunks(self, chunks: list[str]) -> list:
         """The values of distinct chunks without white space."""
-        if len(self.chunks) + len(chunks) > CACHE:
-            self.chunks = {"": self.join([])}
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known, words = self.chunks, self.words
+        new = [c for c in chunks if c not in self.chunks]
+        known = self._room("chunks", new, len(new))
         new = [c for c in chunks if c not in known]
         if new:
             parts = self.pieces("\n".join(new).lower())
-            fresh = [w for w in set(parts) if w not in words and w != "\n"]
+            distinct = set(parts) - {"\n"}
+            fresh = [w for w in distinct if w not in self.words and w not in self.frequent]
+            words = self._room("words", fresh, len(fresh))
+            words.update((w, self.frequent[w]) for w in distinct if w not in words and w in self.frequent)
+            fresh = [w for w in distinct if w not in words]
             if fresh:
                 words.update(zip(fresh, self.values([w.encode() for w in fresh]), strict=True))
             at, join = 0, self.join
@@ -253,15 +266,17 @@ def gather(blob: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return blob[at], ends
 
 
-def groups(texts: list[str | None], most: int = 1 << 23) -> Iterable[tuple[int, list[str]]]:
-    """Runs of texts of about `most` characters, with where they begin; null is the empty text."""
-    at = 0
-    while at < len(texts):
-        first, size = at, 0
-        while at < len(texts) and (at == first or size < most):
-            size += len(texts[at] or "")
-            at += 1
-        yield first, [t or "" for t in texts[first:at]]
+def groups(column, most: int = 1 << 22) -> Iterable[tuple[int, list[str]]]:
+    """Runs of texts of an Arrow column of about `most` bytes, with where they begin; null is the empty text. Only a run
+    at a time is made into strings."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most)))
+        yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
+        first = last
 
 
 def library_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:

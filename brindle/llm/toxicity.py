@@ -51,7 +51,7 @@ def grams(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Features:
     """The distinct features of texts; chosen: feature -> its number, or -1."""
 
-    def __init__(self, chosen: np.ndarray | None = None, most: int = 400_000):
+    def __init__(self, chosen: np.ndarray | None = None, most: int = 100_000):
         self.chosen, self.most, self.cache = chosen, most, {}
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
         features, n, rows = Features(), np.zeros((2, 1 << BITS), np.int32), 0
         for b in batches:
             toxic = np.array(b.column("toxic").to_pylist(), bool)
-            for first, texts in groups(b.column("text").to_pylist(), 1 << 20):
+            for first, texts in groups(b.column("text"), 1 << 20):
                 feature, owner = features.of(texts)
                 kind = toxic[first + owner].astype(int)
                 n += np.bincount((kind << BITS) | feature, minlength=2 << BITS).reshape(2, -1).astype(np.int32)
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
         features = Features(held.value)
         for b in batches:
             out = []
-            for _, texts in groups(b.column("text").to_pylist(), 1 << 20):
+            for _, texts in groups(b.column("text"), 1 << 20):
                 feature, owner = features.of(texts)
                 cut = np.searchsorted(owner, np.arange(len(texts) + 1))
                 out += [feature[x:y].astype("<u2").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
         features = Features(table)
         for b in batches:
             out = []
-            for _, texts in groups(b.column("text").to_pylist()):
+            for _, texts in groups(b.column("text")):
                 feature, owner = features.of(texts)
                 z = np.bincount(owner, w[feature], len(texts)) + bias if len(w) else np.full(len(texts), bias)
                 out += (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
