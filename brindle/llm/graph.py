@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -42,26 +43,34 @@ def differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
-def resolve(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, wide: int = 256) -> DataFrame:
+def resolve(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, ratio: float, wide: int = 256) -> DataFrame:
     """(id, component) of all ids that link, where ids link only if they share a bucket and verify() keeps them.
 
     postings: (bucket, id), each once; one shuffle finds the buckets of several ids, and only those are
     written. marks: DataFrame (id) -> (id, size, sketch) of these. may(size, size, sketch, sketch): False only
     for ids that can't link. verify: DataFrame (a, b) with a < b -> a table of those pairs that link.
 
-    Each shared bucket first gives the pairs of one member, its largest id, with the others: as many as it
-    has members. Where that leaves it in more than one component, all pairs of different components that
+    Each shared bucket first gives, for members of like size (a step of `ratio` or half a step further), the pairs of one of
+    them, that which meets the most others for its size over all its buckets, with the rest: at most twice as many as it has
+    members. In a group of near copies that member is a text in the middle of them. Where that leaves it in more than one component, all pairs of different components that
     may() lets pass follow. So every link between components is found, a group of copies costs a pair a member,
     and pairs of one component are not compared again. A bucket of more than `wide` such members is dealt by
     a salt to as many tasks as it has times `wide`."""
     one = Window.partitionBy("bucket")
-    several = postings.withColumn("n", F.count("id").over(one)).where("n > 1")
-    shared = scratch.table(several.withColumn("lead", F.max("id").over(one)).select("bucket", "id", "lead"), "shared")
+    several = scratch.table(postings.withColumn("n", F.count("id").over(one).cast("int")).where("n > 1"), "several")
+    release(scratch.spark)
+    meets = several.groupBy("id").agg(F.sum("n").alias("meets"))
+    marked = scratch.table(marks(meets.select("id")), "marks")
+    weights = meets.join(marked.select("id", "size"), "id").select("id", "size", (F.col("meets") / F.col("size")).alias("weight"))
+    step = F.log("size") / math.log(ratio)
+    classes = [Window.partitionBy("bucket", F.floor(step + shift)) for shift in (0.0, 0.5)]
+    leads = [F.max(F.struct("weight", "id")).over(w)["id"] for w in classes]
+    shared = scratch.table(several.join(weights, "id").select("bucket", "id", *[x.alias(f"lead{i}") for i, x in enumerate(leads)]), "shared")
+    scratch.drop(several)
     release(scratch.spark)
-    marked = scratch.table(marks(shared.select("id").distinct()), "marks")
     side = lambda c: marked.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     passes = may(F.col("size_a"), F.col("size_b"), F.col("sketch_a"), F.col("sketch_b"))
-    star = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    star = shared.select("id", F.explode(F.array("lead0", "lead1")).alias("lead")).where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     pairs = scratch.table(star.join(side("a"), "a").join(side("b"), "b").where(passes).select("a", "b"), "pairs")
     release(scratch.spark)
     links = verify(pairs)
@@ -74,7 +83,7 @@ def resolve(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], may: C
     x = named.select("bucket", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
     y = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     cross = x.join(y, (x.bucket == y.bucket) & (x.salt == y.salt) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & passes).select("a", "b")
-    cross = scratch.table(cross.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    cross = scratch.table(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross")
     scratch.drop(named, marked, pairs)
     release(scratch.spark)
     if not cross.isEmpty():

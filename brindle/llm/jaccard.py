@@ -183,7 +183,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         return out
 
     postings = heads.select(F.explode("first").alias("bucket"), "id")
-    found = resolve(postings, marks, may, verify, scratch)
+    found = resolve(postings, marks, may, verify, scratch, 100 / percent)
     named = heads.select("one", "two", "doc_id", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = named.where("component is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = scratch.table(named.join(least, "c", "left").select("one", "two", F.coalesce("least", "doc_id").alias("c")), "named")
