@@ -36,11 +36,16 @@ def opo(s: Column, length: Column, uid: str) -> Column:
     return F.when(n == 1, s).otherwise(s - F.sum(length * s).over(w) / F.sum(length).over(w))
 
 
-def gpg(s: Column, uid: str, f_norm: float = 1.0) -> Column:
-    """alpha (s - mean) / f_norm, alpha = rows / rows of a nonzero score. The two counts come from a
-    window over everything only as partial sums would; callers of large data pass alpha themselves."""
+def gpg(s: Column, uid: str, alpha: Column | float, f_norm: float = 1.0) -> Column:
+    """alpha (s - mean) / f_norm; a group of one keeps mean 0. alpha: see gpg_alpha()."""
     w, n = _group(uid)
-    return (s - F.when(n == 1, 0.0).otherwise(F.avg(s).over(w))) / f_norm
+    return alpha * (s - F.when(n == 1, 0.0).otherwise(F.avg(s).over(w))) / f_norm
+
+
+def gpg_alpha(df: DataFrame, s: str) -> float:
+    """Rows over rows of a nonzero score (1 at least): one aggregation, one row to the driver."""
+    n, some = df.agg(F.count(F.lit(1)), F.count_if(F.col(s) != 0)).first()
+    return n / max(1, some)
 
 
 def grpo_pass_k(df: DataFrame, s: str, uid: str, order: str) -> DataFrame:
@@ -93,9 +98,11 @@ def clipped_loss(logp: Column, old: Column, adv: Column, low: float = 0.2, high:
     return F.when(adv < 0, F.least(worst, -adv * c)).otherwise(worst)
 
 
-def aggregate_loss(tokens: DataFrame, seq: str, loss: str, mask: str, mode: str) -> DataFrame:
-    """token-mean, seq-mean-token-sum or seq-mean-token-mean of masked token losses."""
+def aggregate_loss(tokens: DataFrame, seq: str, loss: str, mask: str, mode: str, width: int = 1) -> DataFrame:
+    """token-mean, seq-mean-token-sum, seq-mean-token-mean or seq-mean-token-sum-norm (the sum over the padded width) of masked token losses."""
     s = tokens.groupBy(seq).agg(F.sum(F.col(loss) * F.col(mask)).alias("s"), F.sum(mask).alias("m"))
+    if mode == "seq-mean-token-sum-norm":
+        return s.agg(F.round(F.sum("s") / width, 6).alias("loss"))
     how = {"token-mean": F.sum("s") / F.sum("m"), "seq-mean-token-sum": F.avg("s"), "seq-mean-token-mean": F.avg(F.col("s") / (F.col("m") + 1e-8))}[mode]
     return s.agg(F.round(how, 6).alias("loss"))
 
@@ -141,6 +148,27 @@ def gpg_loss(tokens: DataFrame, seq: str, mode: str = "token-mean") -> DataFrame
     return aggregate_loss(tokens.withColumn("loss", -F.col("logp") * F.col("adv")), seq, "loss", "mask", mode)
 
 
+def _largest(df: DataFrame, value: str, order: list[str], k: int) -> DataFrame:
+    """The k rows of the largest values, ties by `order`, without a sort of all in one task: an exact count by ranges of the value
+    says in which range the k-th lies, and only its rows are ranked."""
+    if not k:
+        return df.limit(0)
+    cuts = sorted(set(df.approxQuantile(value, [i / 256 for i in range(257)], 0.0005)))
+    if not cuts:
+        return df.limit(0)
+    step = F.lit(0)
+    for c in cuts:
+        step = step + (F.col(value) > c).cast("int")
+    ranged = df.withColumn("__step", step)
+    counts, above = sorted(((r["__step"], r["count"]) for r in ranged.groupBy("__step").count().collect()), reverse=True), 0  # 258 rows at most
+    for at, n in counts:
+        if above + n >= k:
+            inner = ranged.where(F.col("__step") == at).orderBy(F.desc(value), *order).limit(k - above)
+            return ranged.where(F.col("__step") > at).unionByName(inner).drop("__step")
+        above += n
+    return df
+
+
 def kl_cov_loss(tokens: DataFrame, seq: str, order: list[str], share: float = 0.0002, coef: float = 1.0, mode: str = "token-mean") -> DataFrame:
     """Policy loss of tokens (seq, logp, old, adv, mask): the share of unmasked tokens with the largest
     covariance of advantage and logp, one at least, pays coef * |logp - old| on top. `order` names the
@@ -148,8 +176,89 @@ def kl_cov_loss(tokens: DataFrame, seq: str, order: list[str], share: float = 0.
     valid = tokens.where("mask > 0")
     n, adv, logp = valid.agg(F.count("adv"), F.avg("adv"), F.avg("logp")).first()
     cov = (F.col("adv") - F.lit(adv)) * (F.col("logp") - F.lit(logp))
-    top = valid.select(*order, cov.alias("cov")).orderBy(F.desc("cov"), *order).limit(max(1, int(n * share)) if n else 0)
+    top = _largest(valid.select(*order, cov.alias("cov")), "cov", order, max(1, int(n * share)) if n else 0)
     k = F.col("logp") - F.col("old")
     out = tokens.join(top.select(*order, F.lit(1.0).alias("hit")), order, "left")
     out = out.withColumn("loss", -F.col("adv") * F.exp(k) + F.coalesce("hit", F.lit(0.0)) * coef * F.abs(k))
     return aggregate_loss(out, seq, "loss", "mask", mode)
+
+
+def masked_stats(tokens: DataFrame, value: str, mask: str) -> tuple[float, float, float]:
+    """(sum, mean, sample variance) of unmasked values, NaN outside the mask ignored; the mean's denominator is the mask's sum + 1e-8.
+    One aggregation, one row to the driver."""
+    inside = F.when(F.col(mask) != 0, F.col(value).cast("double"))
+    total, n, square = tokens.agg(F.sum(inside), F.sum(F.col(mask).cast("double")), F.var_samp(inside)).first()
+    return total or 0.0, (total or 0.0) / ((n or 0.0) + 1e-8), square or 0.0
+
+
+def whitened(tokens: DataFrame, value: str, mask: str, shift: bool = True) -> Column:
+    """(value - mean) / sqrt(variance + 1e-8) by the masked statistics; without shift the mean is added back."""
+    _, mean, var = masked_stats(tokens, value, mask)
+    out = (F.col(value) - mean) * (var + 1e-8) ** -0.5
+    return out if shift else out + mean
+
+
+def reinforce_baseline(df: DataFrame, s: str, uid: str, length: str) -> DataFrame:
+    """df with advantage: score less its group's mean, tiled over `length` tokens and whitened over all of them. As a row's tokens are
+    equal, sums weighted by length stand for the tokens."""
+    w, n = _group(uid)
+    rows = df.withColumn("__c", F.col(s) - F.when(n == 1, 0.0).otherwise(F.avg(s).over(w)))
+    k = F.col(length)
+    count, total, square = rows.agg(F.sum(k), F.sum(F.col("__c") * k), F.sum(F.col("__c") ** 2 * k)).first()
+    mean = (total or 0.0) / ((count or 0) + 1e-8)
+    var = ((square or 0.0) - (total or 0.0) ** 2 / max(count or 1, 1)) / max((count or 2) - 1, 1)
+    return rows.withColumn("advantage", (F.col("__c") - mean) * (var + 1e-8) ** -0.5).drop("__c")
+
+
+def kl_reward(reward: Column, kl_value: Column, mask: Column, beta: float) -> Column:
+    """A token's reward less beta times its divergence."""
+    return reward - beta * kl_value * mask
+
+
+def next_beta(beta: float, current: float, target: float, steps: int, horizon: int) -> float:
+    """The adaptive controller's next coefficient: the error current / target - 1 counts 0.2 at most either way."""
+    return beta * (1 + max(-0.2, min(0.2, current / target - 1)) * steps / horizon)
+
+
+def value_loss(value: Column, old: Column, ret: Column, clip: float) -> Column:
+    """Half the larger of the squared errors with and without the value held near the old one."""
+    held = F.least(F.greatest(value, old - clip), old + clip)
+    return 0.5 * F.greatest((value - ret) ** 2, (held - ret) ** 2)
+
+
+def entropy(logits: Column) -> Column:
+    """logsumexp - sum of p * logit, shifted by the largest logit."""
+    top = F.array_max(logits)
+    mass = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.log(mass) + top - F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top) * x) / mass
+
+
+def clip_cov_loss(tokens: DataFrame, seq: str, order: list[str], share: float, low: float, high: float, bounds: tuple[float, float], seed: int = 7, mode: str = "token-mean") -> DataFrame:
+    """Clipped policy loss of tokens (seq, logp, old, adv, mask), where of the unmasked tokens whose covariance lies in `bounds` and whose ratio is
+    not clipped already a share of all, one at least, drawn by a hash of `order`, count nothing."""
+    k = F.col("logp") - F.col("old")
+    ratio = F.exp(k)
+    plain, held = -F.col("adv") * ratio, -F.col("adv") * F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high))
+    n, adv, logp = tokens.where("mask > 0").agg(F.count("adv"), F.avg("adv"), F.avg("logp")).first()
+    cov = (F.col("adv") - F.lit(adv)) * (F.col("logp") - F.lit(logp))
+    may = tokens.where((F.col("mask") > 0) & (held <= plain) & cov.between(*bounds)).select(*order, F.xxhash64(F.lit(seed), *order).cast("double").alias("h"))
+    out = tokens.join(_largest(may, "h", order, max(1, int((n or 0) * share))).select(*order, F.lit(0.0).alias("hit")), order, "left")
+    out = out.withColumn("loss", F.greatest(plain, held) * F.coalesce("hit", F.lit(1.0)))
+    return aggregate_loss(out, seq, "loss", "mask", mode)
+
+
+def resampled(df: DataFrame, id_col: str, weight: Column, n: int, seed: int = 3) -> DataFrame:
+    """n rows drawn with replacement in proportion to weight (PF-PPO), as (draw, id): seeded uniforms meet cumulative weights in a range join. The
+    rows of one batch: they and the draws fit in a task each."""
+    from pyspark.sql.window import Window as W
+
+    run = W.orderBy(id_col)
+    cum = df.select(id_col, weight.cast("double").alias("w")).withColumn("hi", F.sum("w").over(run)).withColumn("lo", F.col("hi") - F.col("w"))
+    total = cum.agg(F.max("hi")).first()[0] or 0.0
+    u = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / (1 << 40) * total).alias("u"))
+    return u.join(cum, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", id_col)
+
+
+def pf_weight(score: Column, least: Column, most: Column, how: str, power: float = 2.0) -> Column:
+    """pow: |score|^power; max_min: 1 for the best and the worst, else 0."""
+    return F.abs(score) ** power if how == "pow" else ((score == least) | (score == most)).cast("double")

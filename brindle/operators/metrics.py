@@ -15,10 +15,10 @@ def pass_at_k(n: Column, c: Column, k: Column) -> Column:
 
 
 def pass_series(prompts: DataFrame, by: list[str], ks: list[int]) -> DataFrame:
-    """Mean pass@k by group over prompts (n, c) with n >= k: one scan, then grouping sets' worth of partial sums."""
-    long = prompts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("n") >= F.col("k"))
-    long = long.withColumn("p", pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return long.groupBy(*by, "k").agg(F.round(F.avg("p"), 6).alias("pass_at_k"), F.count("p").alias("prompts"))
+    """Mean pass@k by group over prompts (n, c) with n >= k; a group without such a prompt has 0."""
+    long = prompts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    long = long.withColumn("p", F.when(F.col("n") >= F.col("k"), pass_at_k(F.col("n"), F.col("c"), F.col("k"))))
+    return long.groupBy(*by, "k").agg(F.round(F.coalesce(F.avg("p"), F.lit(0.0)), 6).alias("pass_at_k"), F.count("p").alias("prompts"))
 
 
 def earliest_pass(samples: DataFrame, by: list[str], prompt: list[str], ks: list[int]) -> DataFrame:
@@ -38,7 +38,7 @@ def trapezoid(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def length_stats(df: DataFrame, by: list[str], text: str) -> DataFrame:
     """Count, mean, median, sample deviation (one row: 0), least and most of characters and words."""
     out = [F.count(F.lit(1)).alias("n")]
-    for name, c in (("chars", F.length(text)), ("words", F.size(F.split(F.trim(text), r"\s+")))):
+    for name, c in (("chars", F.length(text)), ("words", F.regexp_count(text, F.lit(r"\S+")))):
         out += [F.round(F.avg(c), 4).alias(f"{name}_mean"), F.median(c).alias(f"{name}_median"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
     return df.groupBy(*by).agg(*out)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import pandas as pd
@@ -60,6 +61,60 @@ def karmarkar_karp(lengths: list[int], k: int) -> list[int]:
     return out
 
 
+def knapsack(lengths: list[int], cut: int) -> list[int]:
+    """The bin of each length by the greedy knapsack: a bin takes the largest length that still fits, again and again. Lengths above
+    cut get -1."""
+    out, left = [-1] * len(lengths), sorted((n, i) for i, n in enumerate(lengths) if n <= cut)
+    at = 0
+    while left:
+        room = cut
+        while (j := bisect.bisect_right(left, (room, len(lengths)))) > 0:
+            n, i = left.pop(j - 1)
+            out[i], room = at, room - n
+        at += 1
+    return out
+
+
+def greedy_partition(lengths: list[int], k: int, equal: bool = False) -> list[int]:
+    """Each length, in the order given, to the part of the least sum so far (ties: the first); equal: of the parts with the fewest rows."""
+    sums, rows, out = [0] * k, [0] * k, []
+    for n in lengths:
+        j = min(range(k), key=lambda j: (rows[j] if equal else 0, sums[j], j))
+        sums[j], rows[j] = sums[j] + n, rows[j] + 1
+        out.append(j)
+    return out
+
+
+def micro_batches(lengths: list[int], most: int) -> list[int]:
+    """Balanced micro-batches of min(rows, ceil(tokens / most)), numbered by descending sum of squared lengths."""
+    if not lengths:
+        return []
+    k = min(len(lengths), max(1, -(-sum(lengths) // most)))
+    part = karmarkar_karp(lengths, k)
+    work = [sum(n * n for n, p in zip(lengths, part, strict=True) if p == j) for j in range(k)]
+    rank = {j: r for r, j in enumerate(sorted(range(k), key=lambda j: (-work[j], j)))}
+    return [rank[p] for p in part]
+
+
+def packed_rows(df: DataFrame, batch: str, row: str, ids: str, cut: int, pad: int = 0) -> DataFrame:
+    """Packed rows (batch, bin, input_ids, attention_mask, position_ids) of cut + 1 ids: those of knapsack() in row order, padded; the mask
+    numbers the segments from 1, 0 is padding, and positions start anew in each. Rows of more than cut ids go."""
+    schema = f"{batch} long, bin long, input_ids array<int>, attention_mask array<int>, position_ids array<int>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row)
+        rows, bins = pdf[ids].tolist(), knapsack([len(x) for x in pdf[ids]], cut)
+        out = []
+        for b in range(max(bins, default=-1) + 1):
+            own = [list(x) for x, at in zip(rows, bins, strict=True) if at == b]
+            n = sum(map(len, own))
+            fill = cut + 1 - n
+            out.append((pdf[batch].iloc[0], b, sum(own, []) + [pad] * fill, [i + 1 for i, x in enumerate(own) for _ in x] + [0] * fill, [j for x in own for j in range(len(x))] + [0] * fill))
+        return pd.DataFrame(out, columns=[batch, "bin", "input_ids", "attention_mask", "position_ids"])
+
+    return df.select(batch, row, ids).groupBy(batch).applyInPandas(run, schema)
+
+
 def packed(df: DataFrame, batch: str, row: str, length: str, how, arg: int) -> DataFrame:
     """(batch, row, length, bin) with how(lengths, arg) over each batch in row order. Batches are bounded by their maker."""
     schema = f"{batch} long, {row} long, {length} long, bin long"

@@ -6,19 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import numbered
+
 SEPARATOR = "\n--FIELD--\n"
 
 
 def round_robin_lookup(rows: DataFrame, gold: DataFrame, keys: list[str], order: list[str], gold_order: list[str]) -> DataFrame:
-    """The n-th row of a key takes the key's gold row n modulo their number; no gold: null."""
-    left = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    w = Window.partitionBy(*keys)
-    right = gold.withColumn("__i", F.row_number().over(w.orderBy(*gold_order)) - 1)
+    """The n-th row of a key takes the key's gold row n modulo their number; no gold: null. Rows are numbered by ranges and prefix sums, so
+    that a key of a third of all rows is no single task's."""
+    left = numbered(rows, keys, order, "__n")
+    right = numbered(gold, keys, gold_order, "__i")
     sizes = gold.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     left = left.join(sizes, keys, "left").withColumn("__i", F.col("__n") % F.col("__c")).drop("__n", "__c")
     return left.join(right, [*keys, "__i"], "left").drop("__i")
 
 
+def fallback_lookup(rows: DataFrame, gold: DataFrame, op: str, index: str, value: str, later: str) -> DataFrame:
+    """The gold value of (op, index modulo the op's number of gold rows); of equal (op, index) the later file's counts."""
+    best = gold.groupBy(op, index).agg(F.max_by(value, later).alias(value))
+    sizes = best.groupBy(op).agg(F.count(F.lit(1)).alias("__c"))
+    left = rows.join(sizes, op, "left").withColumn("__i", F.pmod(F.col(index), F.col("__c")))
+    return left.join(best.withColumnRenamed(index, "__i"), [op, "__i"], "left").drop("__i", "__c")
+
+
+def candidate_pairs(bands: DataFrame, id_col: str) -> DataFrame:
+    """(a, b) of ids that share a band key, each once: the key's least id with the others, so that a large bucket gives a pair a member."""
+    lead = bands.groupBy("band", "band_key").agg(F.min(id_col).alias("a"))
+    return bands.join(lead, ["band", "band_key"]).where(F.col("a") < F.col(id_col)).select("a", F.col(id_col).alias("b")).distinct()
+
+
 def missing(rows: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gold, keys, "left_anti")
 
@@ -88,7 +104,7 @@ def mix_plan(plan: DataFrame, total: float) -> DataFrame:
 
 
 def first_share(df: DataFrame, by: list[str], order: list[str], share: float) -> DataFrame:
-    """The first int(n * share) rows of each group."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(*order)))
-    return out.where(F.col("__r") <= F.floor(F.col("__n") * share)).drop("__n", "__r")
+    """The first int(n * share) rows of each group, numbered by ranges and prefix sums."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    out = numbered(df, by, order, "__r").join(F.broadcast(sizes), by)  # a row a group
+    return out.where(F.col("__r") < F.floor(F.col("__n") * share)).select(*df.columns)

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from brindle.functions import text as X
 from brindle.operators import advantage as A
-from brindle.operators import graph as G
 from brindle.operators import metrics as M
 from brindle.operators import packing as B
 from brindle.operators import relational as R
@@ -39,7 +38,7 @@ KS = [1, 2, 4, 8, 16, 32, 64]
 PASS = "case when n - c < k then 1.0 else 1 - list_reduce(list_prepend(1.0, list_transform(range(0, k), lambda i: (n - c - i)::double / (n - i))), lambda a, b: a * b) end"
 
 
-@query("passk_by_op", f"with p as ({PROMPTS}), q as (select op, n, c, unnest([1,2,4,8,16,32,64]) as k from p) select op, k, round(avg(case when c <= 0 then 0.0 else {PASS} end), 6) as pass_at_k, count(*) as prompts from q where n >= k group by op, k")
+@query("passk_by_op", f"with p as ({PROMPTS}), q as (select op, n, c, unnest([1,2,4,8,16,32,64]) as k from p) select op, k, round(coalesce(avg(case when n < k then null when c <= 0 then 0.0 else {PASS} end), 0), 6) as pass_at_k, count(*) filter (n >= k) as prompts from q group by op, k")
 def _(spark, d):
     rows = t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("op"), F.col("l_suppkey").alias("prompt")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("l_returnflag") == "R").cast("int")).alias("c"))
     return M.pass_series(rows, ["op"], KS)
@@ -78,7 +77,7 @@ def _(spark, d):
     return M.trapezoid(p, ["event_type"], "x", "y")
 
 
-@query("length_stats", "select lang, source, count(*) as n, round(avg(length(text)), 4) as chars_mean, median(length(text)) as chars_median, round(coalesce(stddev_samp(length(text)), 0), 4) as chars_std, min(length(text)) as chars_min, max(length(text)) as chars_max, round(avg(w), 4) as words_mean, median(w) as words_median, round(coalesce(stddev_samp(w), 0), 4) as words_std, min(w) as words_min, max(w) as words_max from (select *, len(regexp_split_to_array(trim(text), '\\s+')) as w from documents) group by 1, 2")
+@query("length_stats", "select lang, source, count(*) as n, round(avg(length(text)), 4) as chars_mean, median(length(text)) as chars_median, round(coalesce(stddev_samp(length(text)), 0), 4) as chars_std, min(length(text)) as chars_min, max(length(text)) as chars_max, round(avg(w), 4) as words_mean, median(w) as words_median, round(coalesce(stddev_samp(w), 0), 4) as words_std, min(w) as words_min, max(w) as words_max from (select *, len(regexp_extract_all(text, '\\S+')) as w from documents) group by 1, 2")
 def _(spark, d):
     return M.length_stats(t(spark, d, "documents"), ["lang", "source"], "text")
 
@@ -270,19 +269,6 @@ def _(spark, d):
     return replay.windowed(t(spark, d, "events"), "ts", "1 hour", "1 day", "event_type", "value")
 
 
-@query("graph_scores")
-def _(spark, d):
-    n = F.col("n_nationkey")
-    define = lambda b: F.format_string("Define adult wolf in Oak as X; so X = %d. Define adult bear in Oak as Y; so Y = X + %d = %d + %d = %d. Answer: %d.", n, b, n, b, n + b, n + b)
-    x = t(spark, d, "nation").select("n_nationkey", G.parse_graph(define(F.lit(2))).alias("gold"), G.parse_graph(define(F.when(n % 3 == 0, 3).otherwise(2))).alias("pred"))
-    c = G.compare(F.col("gold"), F.col("pred"))
-    reward = G.process_reward(c, F.size("gold.nodes"), (~c["answer"]).cast("int"))
-    return x.select("n_nationkey", *[v.alias(k) for k, v in c.items()], F.round(reward, 6).alias("reward"))
-
-
-ORACLE["graph_scores"] = "select n_nationkey, 0 as missing, 0 as extra, case when n_nationkey % 3 = 0 then 1 else 0 end as \"values\", 0 as deps, n_nationkey % 3 = 0 as answer, case when n_nationkey % 3 = 0 then 0.0 else 1.0 end as reward from nation"
-
-
 @query("pack_first_fit")
 def _(spark, d):
     x = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 1000).alias("batch"), F.col("doc_id").alias("row"), F.length("text").cast("long").alias("length"))
@@ -381,3 +367,6 @@ def _(spark, d):
 @query("few_shot", "select p_partkey, p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'Answer: B' as example from part")
 def _(spark, d):
     return t(spark, d, "part").select("p_partkey", X.few_shot(F.col("p_name"), {"A": F.col("p_brand"), "B": F.col("p_type")}, F.lit("B")).alias("example"))
+
+
+from brindle.plans import aligned, graphs, measured, mixtures  # noqa: E402, F401  they register theirs
