@@ -21,7 +21,7 @@ def spread(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Rows:
     """chunk -> row of a float array, computed for new chunks in batches; starts anew when full."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, most: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, most: int = 200_000):
         self.compute, self.width, self.most = compute, width, most
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, width))

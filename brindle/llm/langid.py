@@ -6,11 +6,11 @@ words. Piece probabilities are learned by expectation-maximisation over forward
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,9 @@ from .chunks import Rows, spread, sums
 from .common import Scratch, chosen, held_out, widened
 from .tokens import groups
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters of a piece at most; a run of letters beyond LONGEST is scored in parts of that length.
+LETTERS = regex.compile(r"\p{L}+")
+#: Letters of a piece at most: the fixed vocabulary is that of all pieces up to this length, so that a letter's sum has as many terms.
+#: Letters of a run at most that training takes at once (scoring takes whole runs), and an unknown letter's probability.
 PIECE, LONGEST, FLOOR = 6, 40, 1e-8
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -58,6 +59,11 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) & (1 << 64) - 1
         return h
 
+    def find(self, h: np.ndarray, lone: bool) -> np.ndarray:
+        """The index of the piece of each hash, `size` for a lone letter without a piece, -1 for none."""
+        x = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
+        return np.where(self.sorted[x] == h, self.order[x], self.size if lone else -1)
+
     def at(self, code: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(start, length) -> the piece's index in each word, `size` for a lone letter without a piece, -1 for none."""
         rows, width = code.shape
@@ -67,8 +73,7 @@ class Pieces:
                 h = np.zeros(rows, U)
                 for k in range(1, min(PIECE, width - i) + 1):
                     h = h * BASE + code[:, i + k - 1] + U(1)
-                    x = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
-                    found[i, k] = np.where(self.sorted[x] == h, self.order[x], self.size if k == 1 else -1)
+                    found[i, k] = self.find(h, k == 1)
         return found
 
 
@@ -98,11 +103,24 @@ def by_width(words: list[str]) -> Iterator[np.ndarray]:
 
 
 def log_likelihood(words: list[str], finder: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log probabilities of whole words, however long: the sums are scaled at each letter, and only those of the last PIECE are held."""
     out = np.zeros((len(words), p.shape[1]))
     for ids in by_width(words):
         code, n = _codes([words[i] for i in ids])
-        alpha = forward(finder.at(code), n, code.shape[1], p)
-        out[ids] = np.log(np.maximum(np.stack(alpha)[n, np.arange(len(n))], 1e-300))
+        alpha, hashes, scale = [np.ones((len(n), p.shape[1]))], [], np.zeros(len(n))
+        for j in range(1, code.shape[1] + 1):
+            with np.errstate(over="ignore"):
+                letter = code[:, j - 1] + U(1)
+                hashes = [letter, *(h * BASE + letter for h in hashes)][:PIECE]  # of the pieces of 1, 2, .. letters that end here
+            a = np.zeros_like(alpha[0])
+            for k, h in enumerate(hashes):
+                a += alpha[-1 - k] * p[finder.find(h, k == 0)]
+            top = a.max(axis=1)
+            top = np.where(top > 0, top, 1.0)
+            scale += np.log(top)
+            alpha = [x / top[:, None] for x in (*alpha[-PIECE + 1 :], a)]
+            done = np.flatnonzero(n == j)
+            out[ids[done]] = np.log(np.maximum(alpha[-1][done], 1e-300)) + scale[done, None]
     return out
 
 
@@ -136,8 +154,10 @@ def table(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([p, np.full((1, p.shape[1]), FLOOR), np.zeros((1, p.shape[1]))])
 
 
-def letter_runs(chunk: str) -> list[str]:
-    return [w[i : i + LONGEST] for w in LETTERS.findall(chunk.lower()) for i in range(0, len(w), LONGEST)]
+def letter_runs(chunk: str, most: int | None = None) -> list[str]:
+    """Runs of letters in lower case; in training, in parts of `most`."""
+    runs = LETTERS.findall(chunk.lower())
+    return [w[i : i + most] for w in runs for i in range(0, len(w), most)] if most else runs
 
 
 def train(docs: DataFrame, rounds: int = 3, per_language: int = 1500, min_share: float = 0.0) -> tuple[list[str], np.ndarray]:
@@ -163,7 +183,7 @@ def train(docs: DataFrame, rounds: int = 3, per_language: int = 1500, min_share:
             for b in batches:
                 for i in range(0, b.num_rows, 20_000):
                     part = b.slice(i, 20_000)
-                    w = [letter_runs(x) for x in part.column("w").to_pylist()]
+                    w = [letter_runs(x, LONGEST) for x in part.column("w").to_pylist()]
                     lang, count = part.column("lang").to_pylist(), part.column("n").to_pylist()
                     flat = [x for y in w for x in y]
                     if not flat:

@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Bytes, about, and entries that each of a worker's two caches holds before it starts anew.
-CACHE, ENTRIES = 12 << 20, 150_000
+#: Bytes, about, and entries that each of a worker's two caches holds before it starts anew: beside little else, and in
+#: stages that come after others in the same workers.
+WIDE, NARROW = (40 << 20, 400_000), (12 << 20, 150_000)
 #: Printable ASCII, Latin-1 and Latin Extended-A and -B letters without U+0130; of white space the three plain kinds.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-žƀ-ǃȀ-ȟ]*")
 END = "</w>"
@@ -153,12 +154,12 @@ class Coder:
     """Encodes texts chunk by chunk through caches. values: what a batch of new pre-tokens (as UTF-8)
     maps to: their ids as little-endian unsigned 32-bit bytes, or (counts=True) their numbers of ids."""
 
-    def __init__(self, path: str, values: Callable[[list[bytes]], list], counts: bool = False):
+    def __init__(self, path: str, values: Callable[[list[bytes]], list], counts: bool = False, room: tuple[int, int] = WIDE):
         import regex
 
         if not supported(path):
             raise ValueError(f"{path}: unsupported normaliser or pre-tokeniser")
-        self.path, self.values, self.counts = path, values, counts
+        self.path, self.values, self.counts, self.room = path, values, counts, room
         self.join = sum if counts else b"".join
         self.words: dict[str, object] = {}
         self.chunks: dict[str, object] = {"": self.join([])}
@@ -188,7 +189,7 @@ class Coder:
         """The cache of that name, emptied first if what is to come would not fit. A value has as many bytes as four times its letters at most."""
         held = getattr(self, name)
         size = 5 * sum(map(len, more))
-        if len(held) + extra > ENTRIES or self.held[name] + size > CACHE:
+        if len(held) + extra > self.room[1] or self.held[name] + size > self.room[0]:
             held, self.held[name] = {"": self.join([])} if name == "chunks" else {}, 0
             setattr(self, name, held)
         self.held[name] += size
@@ -306,4 +307,4 @@ def merge_coder(path: str) -> Coder:
         data, ends = ids.astype("<u4").tobytes(), np.cumsum(n) * 4
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    return Coder(path, run)
+    return Coder(path, run, room=NARROW)

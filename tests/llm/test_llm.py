@@ -157,6 +157,33 @@ def test_mixing(docs, empty):
     assert mixing.shuffled(mixed).count() == sum(r.copies for r in mixed.collect())
 
 
+def test_mixing_clashing_names(spark, docs):
+    names = ["key", "b", "block", "s", "one", "room", "shard", "full", "row", "target"]
+    odd = docs.select("doc_id", "text", "source", *[docs.doc_id.alias(c) for c in names])
+    rows = mixing.mix(odd).collect()
+    assert all(r[c] == r.doc_id for r in rows for c in names if c != "target") and len(rows) == docs.count()
+    want = {(r.doc_id, r.text): (r.copies, r.part_words) for r in mixing.mix(docs).collect()}
+    assert {(r.doc_id, r.text): (r.copies, r.part_words) for r in rows} == want
+
+
+def test_mixing_shards_follow_the_tree(docs, monkeypatch):
+    """The tree deals the quotas: another tree, other shards."""
+    one = {(r.doc_id, r.text): r.shards for r in mixing.mix(docs, shards=8).collect()}
+    monkeypatch.setattr(mixing, "split_tree", lambda quota, shards, rng: np.array([quota] + [quota * 0] * (shards - 1)))
+    two = {(r.doc_id, r.text): r.shards for r in mixing.mix(docs, shards=8).collect()}
+    assert any(set(x) - {0} for x in one.values()) and all(set(x) <= {0} for x in two.values())
+
+
+def test_neighbours_with_ties(spark):
+    """100 equal vectors among others: ties go to the smaller vec_id, however the rows are partitioned."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1000, 16))
+    x[::10] = x[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one, seven = ({(r.query_id, r["rank"], r.vec_id) for r in ann.op7(frame.repartition(n)).collect()} for n in (1, 7))
+    assert one == seven and {(0, k + 1, 10 * (k + 1)) for k in range(5)} <= one
+
+
 def test_split_tree():
     rng = np.random.default_rng(3)
     dealt = mixing.split_tree(np.array([5, 0, 130, 17]), 8, rng)
@@ -291,10 +318,10 @@ def test_language(spark, empty):
     rng = np.random.default_rng(6)
     kinds = {"aa": ["the", "ing", "wh"], "bb": ["sch", "ung", "zu"]}
     rows = [(i, " ".join("".join(rng.choice(p, rng.integers(1, 4))) for _ in range(20)), lang) for i, (lang, p) in enumerate(list(kinds.items()) * 60)]
-    frame = spark.createDataFrame([*rows, (500, None, "aa"), (501, "12 !", None)], "doc_id long, text string, lang string")
+    frame = spark.createDataFrame([*rows, (500, None, "aa"), (501, "12 !", None), (502, "½ ² Ⅳ", None), (503, "wh" * 3000, "aa"), (0, rows[0][1], "aa")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.op1(frame).collect()}
     assert all(got[i].lang_pred == lang and 0.5 <= got[i].score <= 1 for i, _, lang in rows)
-    assert got[500].lang_pred == got[501].lang_pred == "und" and langid.op1(empty).count() == 0
+    assert got[500].lang_pred == got[501].lang_pred == got[502].lang_pred == "und" and got[503].lang_pred == "aa" and langid.op1(empty).count() == 0
     # the forward algorithm against all segmentations
     p = langid.table(np.arange(1.0, 5)[:, None])
     finder = langid.Pieces(["a", "ab", "b"])
@@ -302,7 +329,11 @@ def test_language(spark, empty):
     def every(w):
         return 1.0 if not w else sum(p[i, 0] * every(w[len(x) :]) for i, x in enumerate(["a", "ab", "b"]) if w.startswith(x))
 
-    assert np.allclose(langid.log_likelihood(["aab", "abab", "b"], finder, p)[:, 0], [np.log(every(w)) for w in ("aab", "abab", "b")])
+    some = ["aab", "abab", "b", "abbaabab", "ab" * 9]
+    assert np.allclose(langid.log_likelihood(some, finder, p)[:, 0], [np.log(every(w)) for w in some])
+    # a long run is summed whole: its probability falls by the same factor with each further repeat
+    x = langid.log_likelihood(["ab" * n for n in (600, 601, 602)], finder, p)[:, 0]
+    assert np.isfinite(x).all() and abs((x[1] - x[0]) - (x[2] - x[1])) < 1e-6
 
 
 def test_toxicity(spark, docs, empty):
