@@ -77,7 +77,8 @@ def _(spark, d):
     return S.interleaved([t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))], "k", "all")
 
 
-@query("merge_two_one_one", "with a as (select n_nationkey as k, row_number() over (order by n_nationkey) - 1 as p from nation), b as (select r_regionkey + 100 as k, row_number() over (order by r_regionkey) - 1 as p from region) select k::bigint as k, case when p < 10 then p // 2 * 4 + p % 2 else 20 + p - 10 end as position from a union all select k, p * 4 + 2 from b where p < 5 union all select k + 100, p * 4 + 3 from b where p < 5")
+# the keys of region are 0 .. 4, those of nation 0 .. 24: they are their rows' places
+@query("merge_two_one_one", "select n_nationkey::bigint as k, case when n_nationkey < 10 then n_nationkey // 2 * 4 + n_nationkey % 2 else 10 + n_nationkey end::bigint as position from nation union all select r_regionkey + 100, r_regionkey * 4 + 2 from region union all select r_regionkey + 200, r_regionkey * 4 + 3 from region")
 def _(spark, d):
     r = F.col("r_regionkey").cast("long")
     return S.merged_lines(t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")), t(spark, d, "region").select((r + 100).alias("k")), t(spark, d, "region").select((r + 200).alias("k")), "k")
