@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("band_candidates")
 def _(spark, d):
-    return R.candidate_pairs(R.band_keys(R.minhash(t(spark, d, "benchmark"), "text", 5, 64), 8, 8).select("item_id", "band", "band_key"), "item_id")
+    return R.candidate_pairs(R.band_keys(R.minhash(t(spark, d, "part"), "p_name", 5, 64), 8, 8).select("p_partkey", "band", "band_key"), "p_partkey")
 
 
 def lengths(spark, d, batch: int):
