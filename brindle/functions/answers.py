@@ -158,3 +158,38 @@ def path_parts(path: Column) -> dict[str, Column]:
     parts = F.split(path, "/")
     at = lambda i: F.try_element_at(parts, F.lit(i))
     return {"context": at(-3), "difficulty": at(-2), "op": F.regexp_extract(at(-1), r"(\d+)", 1).try_cast("int")}
+
+
+#: What leads to an answer, in the order tried, and what ends it (None: the first letter that is no digit).
+SCANNED = [
+    ("answer: ", "."),
+    ("solution: ", "."),
+    ("oxed{", "}"),
+    ("**answer:** ", "."),
+    ("**answer: ", "**"),
+    ("final answer: answer: ", "."),
+    ("\nanswer: ", "."),
+    (r"\text{answer: } ", None),
+    ("is ", "."),
+    ("answer: ", "\n"),
+]
+#: Those of them whose last place counts; of the others the first does.
+LAST = {"oxed{", "is "}
+
+
+def scanned_answer(text: Column) -> Column:
+    """The whole number that follows the first of SCANNED to be followed by one, in lower case; null if there is none."""
+    low = F.lower(text)
+    tries = []
+    for lead, end in SCANNED:
+        at = F.locate(lead, low)
+        rest = F.substring_index(low, lead, -1) if lead in LAST else F.substring(low, at + len(lead), F.length(low))
+        value = F.regexp_extract(rest, r"^\d*", 0) if end is None else F.substring_index(rest, end, 1)
+        tries.append(F.when((at > 0) & value.rlike(r"^\s*[+-]?\d+\s*$"), strip(value).try_cast("long")))
+    return F.coalesce(*tries)
+
+
+def prompt_key(value: Column) -> Column:
+    """A JSON object or list with sorted keys and without spaces, so that equal ones are equal texts; other texts as they are."""
+    parsed = F.to_json(F.try_parse_json(value))
+    return F.when(value.rlike(r"^\s*[{\[]") & parsed.isNotNull(), parsed).otherwise(value)

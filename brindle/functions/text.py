@@ -109,3 +109,26 @@ def few_shot(question: Column, choices: dict[str, Column], answer: Column | None
     """A multiple-choice question as text: the question, a line a choice, `Answer:` and, of an example, its answer."""
     lines = [question, *[F.concat(F.lit(f"{k}. "), c) for k, c in choices.items()], F.concat(F.lit("Answer: "), answer) if answer is not None else F.lit("Answer:")]
     return F.concat_ws("\n", *lines)
+
+
+def corpus_line(problem: Column, question: Column, solution: Column) -> Column:
+    """A line for a tokenizer's corpus: `[BOS] <question> p q </question> <solution> b </solution> <answer> a </answer> [EOS]`. The first two pairs of tags
+    stand even around nothing, the answer's only around an answer. Other than in compose_text(), the answer loses dots and white space
+    at its end together, and the body white space at its end alone."""
+    whole = lambda c: strip(F.coalesce(c, F.lit("")))
+    s, none = whole(solution), F.lit("")
+    has, tail = s.contains("Answer:"), F.substring_index(s, "Answer:", -1)
+    body = F.when(has, F.regexp_replace(F.substring(s, F.lit(1), F.length(s) - F.length(tail) - 7), r"\s+$", "")).otherwise(s)
+    answer = F.when(has, F.regexp_replace(strip(F.split(strip(tail), "\n")[0]), r"[\s.]*$", ""))
+    pq = strip(F.concat(whole(problem), F.lit(" "), whole(question)))
+    part = lambda tag, c: [F.lit(f"<{tag}>"), F.nullif(c, none), F.lit(f"</{tag}>")]
+    last = F.when(answer != "", F.concat(F.lit("<answer> "), answer, F.lit(" </answer>")))
+    return F.concat_ws(" ", F.lit("[BOS]"), *part("question", pq), *part("solution", body), last, F.lit("[EOS]"))
+
+
+def complete(*fields: Column) -> Column:
+    """Whether none of the fields is null or blank: the strict form of compose_text() takes only such rows."""
+    out = F.lit(True)
+    for f in fields:
+        out = out & (strip(F.coalesce(f, F.lit(""))) != "")
+    return out

@@ -23,8 +23,10 @@ def k_grid(target: int, most: int) -> list[int]:
 
 
 def kept_ks(ks: list[int], max_rank: int) -> list[int]:
-    """ks up to max_rank + 1, and that."""
-    return sorted({k for k in ks if k <= max_rank + 1} | {max_rank + 1})
+    """Positive ks up to max_rank + 1, and that; all of them where no rank is known (below 0)."""
+    if max_rank < 0:
+        return sorted({k for k in ks if k > 0})
+    return sorted({k for k in ks if 0 < k <= max_rank + 1} | {max_rank + 1})
 
 
 def token_accuracy(df: DataFrame, predicted: Column, labels: Column, ignore: int = -100) -> DataFrame:
@@ -133,3 +135,18 @@ def merged_stats(stats: DataFrame, by: list[str]) -> DataFrame:
 def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """sample_rank: the place of a row within its key."""
     return df.withColumn("sample_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def answer_em(df: DataFrame, pred: Column, gold: Column) -> DataFrame:
+    """One row (em, n_eval): the share of rows whose extracted answers are equal texts; no rows: 0 and 0."""
+    same = (pred.eqNullSafe(gold)).cast("double")
+    return df.agg(F.round(F.coalesce(F.avg(same), F.lit(0.0)), 6).alias("em"), F.count(F.lit(1)).alias("n_eval"))
+
+
+def consistency(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """A row a column (name, rows, filled, typed): rows of the table, values that are not null, and whether the type is the one
+    named; a batch is consistent where rows = filled and typed hold for all. One pass."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(kinds) if c in types])
+    cells = [F.struct(F.lit(c).alias("name"), F.col("rows"), (F.col(f"n{i}") if c in types else F.lit(0).cast("long")).alias("filled"), F.lit(types.get(c) == k).alias("typed")) for i, (c, k) in enumerate(kinds.items())]
+    return one.select(F.inline(F.array(*cells)))

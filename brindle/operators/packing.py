@@ -42,10 +42,18 @@ def next_fit(lengths: list[int], cut: int) -> list[int]:
     return out
 
 
-def karmarkar_karp(lengths: list[int], k: int) -> list[int]:
-    """The partition of each length by largest differencing: the two most uneven partial partitions meet, large sums against small."""
+def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[int]:
+    """The partition of each length by largest differencing: the two most uneven partial partitions meet, large sums against small.
+    equal: partitions hold equally many lengths, whose number k must divide; lengths next in size then begin apart."""
     heap: list = []
-    for i, n in enumerate(lengths):
+    if equal and len(lengths) % k:
+        raise ValueError(f"{len(lengths)} lengths do not divide into {k} equal parts")
+    if equal:
+        by_size = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+        for at in range(0, len(by_size), k):
+            sets = [(lengths[i], [i]) for i in by_size[at : at + k]]
+            heapq.heappush(heap, (sets[-1][0] - sets[0][0], at, sets))
+    for i, n in enumerate([] if equal else lengths):
         sets = [(n, [i])] + [(0, [])] * (k - 1)
         heapq.heappush(heap, (-n, i, sets))
     tie = len(lengths)

@@ -108,3 +108,36 @@ def first_share(df: DataFrame, by: list[str], order: list[str], share: float) ->
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     out = numbered(df, by, order, "__r").join(F.broadcast(sizes), by)  # a row a group
     return out.where(F.col("__r") < F.floor(F.col("__n") * share)).select(*df.columns)
+
+
+def preset_filter(rows: DataFrame, presets: DataFrame, keys: list[str], on: str) -> DataFrame:
+    """Rows that the preset of their keys names by `on`; rows whose keys have no preset stay all. presets: keys and `on`."""
+    known = presets.select(*keys).distinct().withColumn("__known", F.lit(True))
+    named = presets.select(*keys, on).distinct().withColumn("__named", F.lit(True))
+    out = rows.join(known, keys, "left").join(named, [*keys, on], "left")
+    return out.where("__known is null or __named").select(*rows.columns)
+
+
+def restored(results: DataFrame, index: DataFrame, place: str, row: str) -> DataFrame:
+    """Results by place in micro-batches, with the row that stood there before they were dealt: the inverse of the permutation index (place, row)."""
+    return results.join(index.select(place, row), place).drop(place)
+
+
+def backfilled(store: DataFrame, rows: DataFrame, digest: str, sid: str) -> DataFrame:
+    """The store (digest, sid) and a row for each digest of `rows` that it lacks, with the least sid. Digests spread evenly, so no
+    group is large after map-side minima."""
+    new = rows.groupBy(digest).agg(F.min(sid).alias(sid)).join(store.select(digest), digest, "left_anti")
+    return store.select(digest, sid).unionByName(new)
+
+
+def used_keys(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The distinct keys of all frames."""
+    out = frames[0].select(*keys)
+    for f in frames[1:]:
+        out = out.unionByName(f.select(*keys))
+    return out.distinct()
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that a registry names (new name: column), under the new names; those that the table lacks are null."""
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")).alias(k) for k, c in names.items()])

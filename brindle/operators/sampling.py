@@ -173,3 +173,51 @@ def aligned_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     for c in both:
         out = out.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"__{c}")), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} differs")).cast(a.schema[c].dataType)))
     return out.drop(*[f"__{c}" for c in both])
+
+
+def checkpoint_order(name: str) -> list[Column]:
+    """Sort keys: names with `checkpoint-N` by N, then the others, by name."""
+    n = F.regexp_extract(name, r"checkpoint-(\d+)", 1)
+    return [F.when(n != "", 0).otherwise(1), F.coalesce(n.try_cast("long"), F.lit(0)), F.col(name)]
+
+
+def first_rows(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows in an order that tells rows apart, nulls last. Each task keeps `most` rows before they meet."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(most)
+
+
+def mini_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """df with batch and place (both 0-based): consecutive batches of `size` rows, which must divide the table's."""
+    n = df.count()
+    if size < 1 or n % size:
+        raise ValueError(f"{n} rows do not divide into batches of {size}")
+    ranked = numbered(df.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    return ranked.select(*df.columns, F.floor(F.col("__n") / size).cast("long").alias("batch"), (F.col("__n") % size).alias("place"))
+
+
+def context_filter(df: DataFrame, context: str, id_col: str, shares: dict[str, float], seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
+    """Rows of the contexts named, of each its share by a seeded order, and the shares of those kept, scaled to a sum of 1. n rows of
+    a share p leave n - ceil((1 - p) * n). Contexts without a positive share or without rows go; a share above 1, no positive share, or nothing
+    left is an error."""
+    if sum(shares.values()) <= 0 or any(p > 1 for p in shares.values()):
+        raise ValueError("shares must lie in 0 to 1 and not all be 0")
+    asked = {c: p for c, p in shares.items() if p > 0}
+    sizes = df.where(F.col(context).isin(list(asked))).groupBy(context).count()
+    held = {r[context]: r["count"] for r in sizes.toLocalIterator()}  # a row a context asked for
+    if not held:
+        raise ValueError("no rows are left")
+    plan = {(c,): n - math.ceil(round((1 - asked[c]) * n, 9)) for c, n in held.items()}
+    total = sum(asked[c] for c in held)
+    return drawn(df, [context], id_col, {k: n for k, n in plan.items() if n}, seed).drop("copy"), {c: asked[c] / total for c in asked if c in held}
+
+
+def rest_budget(total: float, epoch: float, explicit: float | str | None = None) -> int:
+    """floor((1 - epoch) * total), or the number given (text may carry a `# comment`); 0 at least."""
+    if explicit is None:
+        rest = (1 - epoch) * total
+    else:
+        text = str(explicit).split("#", 1)[0].strip()
+        if not text:
+            raise ValueError("the budget is empty")
+        rest = float(text)
+    return max(0, math.floor(rest))

@@ -18,3 +18,15 @@ def windowed(events: DataFrame, ts: str, length: str, late: str, by: str, value:
 def first_seen(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
     """Drops repeats within the watermark, so that state stays bounded."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def replayed(stream_of: DataFrame, out: str, state: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over the files that are there, to its end, and returns what it gave. `complete` results replace each other, `append`
+    results add up; state is the checkpoint, from which a run that broke off goes on. A batch written twice replaces itself."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+
+    run = stream_of.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+    run.awaitTermination()
+    return stream_of.sparkSession.read.schema(stream_of.schema).parquet(out).select(*stream_of.columns)
