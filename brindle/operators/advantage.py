@@ -262,3 +262,11 @@ def resampled(df: DataFrame, id_col: str, weight: Column, n: int, seed: int = 3)
 def pf_weight(score: Column, least: Column, most: Column, how: str, power: float = 2.0) -> Column:
     """pow: |score|^power; max_min: 1 for the best and the worst, else 0."""
     return F.abs(score) ** power if how == "pow" else ((score == least) | (score == most)).cast("double")
+
+
+def adaptive_kl(steps: DataFrame, by: list[str], order: str, kl: str, n: str, init: float, target: float, horizon: float) -> DataFrame:
+    """steps with kl_coef after each: the coefficient grows by 1 + clip(kl / target - 1, -0.2, 0.2) * n / horizon a step, from init. The table has a
+    row a training step of a run."""
+    error = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col(kl) / target - 1))
+    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("kl_coef", F.lit(float(init)) * F.product(1 + error * F.col(n) / horizon).over(run))

@@ -3,6 +3,9 @@ within a row, or one aggregation; nothing here shuffles but what groups turns.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +159,20 @@ def folded(df: DataFrame, order: str, size: int, value: str) -> DataFrame:
     """Rows of consecutive `order` numbers folded into arrays of `size`."""
     one = df.groupBy(F.floor(F.col(order) / size).cast("long").alias("fold"))
     return one.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def short_prompts(df: DataFrame, prompt: str, most: int, path: str) -> DataFrame:
+    """Rows whose prompt has at most `most` tokens of the tokenizer file at `path`, without added special tokens; a null prompt has none. Whole texts are
+    counted, in Arrow batches; the tokenizer is loaded once a task."""
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for texts in batches:
+            parts = [texts.iloc[i : i + 64].fillna("").tolist() for i in range(0, len(texts), 64)]
+            yield pd.Series([len(e.ids) for p in parts for e in tokenizer.encode_batch(p, add_special_tokens=False)], dtype="int64")
+
+    return df.where(F.pandas_udf(count, "long")(F.col(prompt).cast("string")) <= most)

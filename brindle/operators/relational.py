@@ -46,10 +46,12 @@ def shifted(df: DataFrame, batch: str, order: str, value: str) -> Column:
     return F.when(F.row_number().over(w) == 1, last).otherwise(F.lag(value).over(w))
 
 
-def exact_dedup(df: DataFrame, by: list[str], fields: list[str], order: str) -> DataFrame:
+def exact_dedup(df: DataFrame, by: list[str], fields: list[str], order: str, short: bool = False) -> DataFrame:
     """The first row of each digest within `by`. The digest, not `by`, deals rows out, so a large
-    group does not land in one task; max_by keeps map-side combining where a window would not."""
-    digest = F.sha2(F.concat_ws(SEPARATOR, *[F.coalesce(F.col(f), F.lit("")) for f in fields]), 256)
+    group does not land in one task; max_by keeps map-side combining where a window would not. short: a digest of 64 bits, under which
+    different rows meet by chance once in about 10^9 to 10^10 rows; only equality counts, so Spark's own hash serves."""
+    key = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(f), F.lit("")) for f in fields])
+    digest = F.xxhash64(key) if short else F.sha2(key, 256)
     return df.withColumn("digest", digest).groupBy(*by, "digest").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies"))
 
 

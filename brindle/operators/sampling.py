@@ -221,3 +221,47 @@ def rest_budget(total: float, epoch: float, explicit: float | str | None = None)
             raise ValueError("the budget is empty")
         rest = float(text)
     return max(0, math.floor(rest))
+
+
+def exact_counts(rows: DataFrame, op: str, cell: list[str], order: list[str], quotas: dict, done: DataFrame | None = None) -> DataFrame:
+    """Of over-generated distinct rows as many of each op as its quota asks, less what `done` (op, n) already holds: one of each cell in turn (the
+    columns `cell` in their order), a cell's rows by `order`, until the quota is full. Ops without a quota go. Rows are numbered by ranges and
+    prefix sums twice, so that an op of a third of all rows is no single task's."""
+    schema = T.StructType([rows.schema[op], T.StructField("__want", T.LongType())])
+    want = F.broadcast(rows.sparkSession.createDataFrame(list(quotas.items()), schema))  # a row an op
+    some = rows.join(want, op)
+    if done is not None:
+        held = done.groupBy(op).agg(F.sum("n").alias("__done"))
+        some = some.join(F.broadcast(held), op, "left").withColumn("__want", F.col("__want") - F.coalesce("__done", F.lit(0))).drop("__done")
+    turn = numbered(some, [op, *cell], order, "__turn")
+    return numbered(turn, [op], ["__turn", *cell, *order], "__place").where("__place < __want").select(*rows.columns)
+
+
+def limited_splits(rows: DataFrame, split: str, order: list[str], least: int, most: int, limit: int) -> DataFrame:
+    """The first `limit` rows of each split from `least` to `most`, in order."""
+    some = rows.where(F.col(split).between(least, most))
+    return numbered(some, [split], order, "__n").where(F.col("__n") < limit).select(*rows.columns)
+
+
+def take_skip(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """rows with split: the first n are `validation`, the rest `train`. n is a whole number, not a share: a stream's length is not known."""
+    if not isinstance(n, int) or isinstance(n, bool) or n < 0:
+        raise ValueError("a stream's validation rows are a whole number")
+    ranked = numbered(rows.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    return ranked.select(*rows.columns, F.when(F.col("__n") < n, "validation").otherwise("train").alias("split"))
+
+
+def buffer_shuffled(rows: DataFrame, order: list[str], size: int, seed: int = 42) -> DataFrame:
+    """rows with buffer and position: consecutive buffers of `size` rows, each in a seeded order of its own. A buffer is one task's, and its
+    size the bound."""
+    ranked = numbered(rows.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    ranked = ranked.withColumn("buffer", F.floor(F.col("__n") / size).cast("long"))
+    place = F.row_number().over(Window.partitionBy("buffer").orderBy(hashed(seed, "__n"), "__n")) - 1
+    return ranked.withColumn("position", F.col("buffer") * size + place).select(*rows.columns, "buffer", "position")
+
+
+def logged_samples(rows: DataFrame, text: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows for a table of validation samples, by a seeded order of their text, so that reruns and other partitionings agree; equal texts are
+    told apart by the other columns. Each task keeps n before they meet."""
+    every = [c for c in rows.columns if c != text]
+    return rows.orderBy(hashed(seed, text), text, *every).limit(n)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import answers as N
 from brindle.functions import text as X
+from brindle.operators import advantage as A
+from brindle.operators import encoding as E
 from brindle.operators import evaluation as V
 from brindle.operators import packing as B
 from brindle.operators import relational as R
@@ -205,3 +207,53 @@ def _(spark, d):
     top = io.shared_folder(spark, "seen")
     found = replay.first_seen(events(spark, d), "ts", ["user_id", "event_type"], "3650 days").select("user_id", "event_type")
     return replay.replayed(found, f"{top}/out", f"{top}/state")
+
+
+@query(
+    "exact_counts",
+    """with q as (select *, case l_linenumber when 1 then 40 when 2 then 25 when 3 then 100000 end - case l_linenumber when 1 then 15 else 0 end as want from lineitem where l_linenumber <= 3),
+  r as (select *, row_number() over (partition by l_linenumber, l_returnflag, l_linestatus order by l_orderkey) as turn from q), p as (select *, row_number() over (partition by l_linenumber order by turn, l_returnflag, l_linestatus, l_orderkey) as place from r)
+  select l_orderkey, l_linenumber, l_returnflag, l_linestatus from p where place <= want""",
+)
+def _(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    done = spark.createDataFrame([(1, 9), (1, 6)], "l_linenumber int, n long")
+    return S.exact_counts(x, "l_linenumber", ["l_returnflag", "l_linestatus"], ["l_orderkey"], {1: 40, 2: 25, 3: 100_000}, done)
+
+
+@query("limited_splits", "select l_orderkey, l_linenumber from (select *, row_number() over (partition by l_linenumber order by l_orderkey) as r from lineitem where l_linenumber between 2 and 5) where r <= 30")
+def _(spark, d):
+    return S.limited_splits(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_linenumber", ["l_orderkey"], 2, 5, 30)
+
+
+@query("take_skip_split", "select event_id, case when row_number() over (order by ts, event_id) <= 100 then 'validation' else 'train' end as split from events")
+def _(spark, d):
+    return S.take_skip(t(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 100).drop("ts")
+
+
+@query("buffer_shuffle", "select event_id, ((row_number() over (order by ts, event_id) - 1) // 128)::bigint as buffer from events")
+def _(spark, d):
+    return S.buffer_shuffled(t(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 128).drop("ts", "position")
+
+
+@query("validation_log")
+def _(spark, d):
+    return S.logged_samples(t(spark, d, "conversations").select("text", "conv_id", "turn"), "text", 20)
+
+
+@query("adaptive_kl", "select event_id, round(0.2 * product(1 + greatest(-0.2, least(0.2, (value % 3) / 1.5 - 1)) * 64 / 1000.0::double) over (partition by user_id order by event_id), 8) as kl_coef from events")
+def _(spark, d):
+    x = t(spark, d, "events").select("event_id", "user_id", (F.col("value") % 3).alias("kl"), F.lit(64).alias("n"))
+    return A.adaptive_kl(x, ["user_id"], "event_id", "kl", "n", 0.2, 1.5, 1000.0).select("event_id", F.round("kl_coef", 8).alias("kl_coef"))
+
+
+@query("exact_dedup_short", "select lang, min(doc_id) as doc_id, count(*) as copies from documents group by lang, coalesce(text, ''), coalesce(source, '')")
+def _(spark, d):
+    return R.exact_dedup(t(spark, d, "documents"), ["lang"], ["text", "source"], "doc_id", short=True).drop("digest")
+
+
+@query("short_prompts")
+def _(spark, d):
+    import public_tokenizers
+
+    return E.short_prompts(t(spark, d, "conversations").select("conv_id", "turn", "text"), "text", 64, public_tokenizers.path("word_bpe_49k.json")).select("conv_id", "turn")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import answers as N
+from brindle.operators import encoding as E
 from brindle.operators import evaluation as V
 from brindle.operators import packing as B
 from brindle.operators import sampling as S
@@ -114,3 +115,32 @@ def test_late_rows_go_and_runs_go_on(spark, tmp_path):
     assert run() == [(1, 2, 3.0), (10, 1, 4.0), (12, 1, 8.0)]
     put(4, [(at(18), "a", 64.0)])
     assert run() == [(1, 2, 3.0), (10, 1, 4.0), (12, 1, 8.0), (15, 1, 32.0)]
+
+
+def test_samples_do_not_hang_on_partitions(spark):
+    rows = spark.range(300).select((F.col("id") % 50).cast("string").alias("text"), "id")
+    a, b = (S.logged_samples(rows.repartition(n), "text", 40).collect() for n in (1, 7))
+    assert a == b and len({r.id for r in a}) == 40
+    assert S.logged_samples(rows.limit(0), "text", 5).count() == 0
+
+
+def test_buffers_are_permutations(spark):
+    got = S.buffer_shuffled(spark.range(100).repartition(5), ["id"], 32).collect()
+    assert all(r.buffer == r.id // 32 == r.position // 32 for r in got)
+    assert sorted(r.position for r in got) == list(range(100)) and any(r.position != r.id for r in got)
+    with pytest.raises(ValueError):
+        S.take_skip(spark.range(3), ["id"], 0.5)
+
+
+def test_short_prompts_as_the_library_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "one two", "a much longer prompt " * 40, "é ü 中文 " * 3, "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    want = {i for i, s in enumerate(texts) if len(library.encode(s or "", add_special_tokens=False).ids) <= 30}
+    assert {r.i for r in E.short_prompts(rows, "s", 30, path).collect()} == want and 0 in want and 3 not in want
