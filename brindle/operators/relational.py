@@ -108,7 +108,7 @@ def mix_plan(plan: DataFrame, total: float) -> DataFrame:
 def first_share(df: DataFrame, by: list[str], order: list[str], share: float) -> DataFrame:
     """The first int(n * share) rows of each group, numbered by ranges and prefix sums."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    out = numbered(df, by, order, "__r").join(F.broadcast(sizes), by)  # a row a group
+    out = numbered(df, by, order, "__r").join(sizes, by)
     return out.where(F.col("__r") < F.floor(F.col("__n") * share)).select(*df.columns)
 
 

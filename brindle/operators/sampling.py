@@ -10,20 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from brindle.sources.io import shared_folder
+
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """df with the 0-based place of each row in its group: a range partitioning by group and order, local numbers, and the counts of the
-    partitions before from prefix sums (a row a partition and group), so that a large group spreads over many tasks. `order` must tell rows apart."""
-    part = df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
-    local = part.withColumn(name, F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)) - 1)
-    counts = part.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", *by, F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__base"))
-    keys = local["__part"] == base["__part"]
-    for c in by:
-        keys = keys & local[c].eqNullSafe(base[c])
-    out = local.join(F.broadcast(base), keys)
-    return out.select(*[local[c] for c in df.columns], (F.col(name) + F.col("__base")).cast("long").alias(name))
+    """df with the 0-based place of each row in its group, as a long. `order` must tell rows apart; a null key is a group of its own.
+
+    The rows are dealt by ranges of (by, order) once, sorted, and written to the shared folder with their partition and their place in
+    it; all that follows reads that table, so no second sampling of ranges can disagree with the first. A row's place in the table is
+    its place in its partition and the sizes of the partitions before (a row a partition); its group's first row is the group's least.
+    A group of any size so spreads over many tasks. by=[] numbers the whole table."""
+    spark, at = df.sparkSession, shared_folder(df.sparkSession, "numbered")
+    part = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
+    part.write.parquet(at)
+    part = spark.read.schema(part.schema).parquet(at)
+    own = F.shiftright("__at", 33)
+    sizes, before, starts = {r["p"]: r["n"] for r in part.groupBy(own.alias("p")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}, 0, []
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    starts = F.broadcast(spark.createDataFrame(starts, "__p long, __start long"))  # a row a partition
+
+    def place(rows: DataFrame, c: str) -> DataFrame:
+        here = rows.join(starts, F.shiftright(c, 33) == F.col("__p"))
+        return here.withColumn(c, F.col("__start") + F.col(c).bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__start")
+
+    rows = place(part, "__at")
+    if not by:
+        return rows.select(*df.columns, F.col("__at").alias(name))
+    first = place(part.groupBy(*by).agg(F.min("__at").alias("__first")), "__first").select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], "__first")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
+    return rows.join(first, same).select(*df.columns, (F.col("__at") - F.col("__first")).alias(name))
 
 
 def hashed(seed: int, *cols: str) -> Column:
@@ -77,11 +96,11 @@ def drawn(df: DataFrame, by: list[str], id_col: str, plan: dict[tuple, int], see
     them). Groups without a plan go."""
     schema = T.StructType([*[df.schema[c] for c in by], T.StructField("want", T.LongType())])
     table = df.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], schema)
-    some = df.join(F.broadcast(table), by).withColumn("h", hashed(seed, id_col))
+    some = df.join(table, by).withColumn("h", hashed(seed, id_col))
     ranked = numbered(some, by, ["h", id_col], "place")
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("have"))
     copies = F.floor((F.col("want") - F.col("place") - 1) / F.col("have")) + 1
-    out = ranked.join(F.broadcast(sizes), by).where("place < want")
+    out = ranked.join(sizes, by).where("place < want")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).select(*df.columns, "copy")
 
 
@@ -94,9 +113,9 @@ def compose_plan(plan: DataFrame, total: float) -> DataFrame:
 def materialized(rows: DataFrame, shard: str, plan: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Rows of each shard `repeats` times, and of ceil(residual * n) of them, by a seeded order, once more; a residual of 0.999999 or
     more takes all. plan: (shard, repeats, residual), a row a shard."""
-    sizes = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(plan), shard)
+    sizes = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).join(plan, shard)
     more = F.when(F.col("residual") >= 0.999999, F.col("n")).otherwise(F.ceil(F.round(F.col("residual") * F.col("n"), 6)))
-    some = rows.join(F.broadcast(sizes.withColumn("more", more)), shard).withColumn("h", hashed(seed, id_col))
+    some = rows.join(sizes.withColumn("more", more), shard).withColumn("h", hashed(seed, id_col))
     ranked = numbered(some, [shard], ["h", id_col], "place")
     copies = F.col("repeats") + (F.col("place") < F.col("more")).cast("int")
     return ranked.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*rows.columns, "copy")
@@ -107,7 +126,7 @@ def resampled(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     have = df.count()
     if not have:
         return df.withColumn("copy", F.lit(0))
-    ranked = numbered(df.withColumn("h", hashed(seed, id_col)).withColumn("g", F.lit(0)), ["g"], ["h", id_col], "place")
+    ranked = numbered(df.withColumn("h", hashed(seed, id_col)), [], ["h", id_col], "place")
     copies = (F.lit(n) - F.col("place") - 1 + have) / have
     return ranked.where(F.col("place") < n).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.floor(copies) - 1).cast("int")))).select(*df.columns, "copy")
 
@@ -131,7 +150,7 @@ def interleaved(frames: list[DataFrame], order: str, stop: str = "first") -> Dat
     n = min(sizes) if stop == "first" else max(sizes)
     out = None
     for i, f in enumerate(frames):
-        ranked = numbered(f.withColumn("g", F.lit(0)), ["g"], [order], "place").drop("g")
+        ranked = numbered(f, [], [order], "place")
         if stop == "first":
             rows = ranked.where(F.col("place") < n).withColumn("turn", F.col("place"))
         else:
@@ -144,7 +163,7 @@ def interleaved(frames: list[DataFrame], order: str, stop: str = "first") -> Dat
 
 def merged_lines(a: DataFrame, b: DataFrame, c: DataFrame, order: str) -> DataFrame:
     """Two rows of a, one of b and one of c in turn while all three last, then the rest of a."""
-    place = lambda f: numbered(f.withColumn("g", F.lit(0)), ["g"], [order], "place").drop("g")
+    place = lambda f: numbered(f, [], [order], "place")
     rounds = min(a.count() // 2, b.count(), c.count())
     p = F.col("place")
     first = place(a).withColumn("position", F.when(p < 2 * rounds, F.floor(p / 2) * 4 + p % 2).otherwise(4 * rounds + p - 2 * rounds))
@@ -154,7 +173,7 @@ def merged_lines(a: DataFrame, b: DataFrame, c: DataFrame, order: str) -> DataFr
 
 def chunked(df: DataFrame, order: str, size: int, whole: bool = False) -> DataFrame:
     """df with chunk: the number of its run of `size` rows; whole=True leaves the last, short run out."""
-    out = numbered(df.withColumn("g", F.lit(0)), ["g"], [order], "place").drop("g")
+    out = numbered(df, [], [order], "place")
     out = out.where(F.col("place") < df.count() // size * size) if whole else out
     return out.withColumn("chunk", F.floor(F.col("place") / size)).drop("place")
 
@@ -191,7 +210,7 @@ def mini_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     n = df.count()
     if size < 1 or n % size:
         raise ValueError(f"{n} rows do not divide into batches of {size}")
-    ranked = numbered(df.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    ranked = numbered(df, [], order, "__n")
     return ranked.select(*df.columns, F.floor(F.col("__n") / size).cast("long").alias("batch"), (F.col("__n") % size).alias("place"))
 
 
@@ -228,11 +247,11 @@ def exact_counts(rows: DataFrame, op: str, cell: list[str], order: list[str], qu
     columns `cell` in their order), a cell's rows by `order`, until the quota is full. Ops without a quota go. Rows are numbered by ranges and
     prefix sums twice, so that an op of a third of all rows is no single task's."""
     schema = T.StructType([rows.schema[op], T.StructField("__want", T.LongType())])
-    want = F.broadcast(rows.sparkSession.createDataFrame(list(quotas.items()), schema))  # a row an op
+    want = rows.sparkSession.createDataFrame(list(quotas.items()), schema)  # a row an op
     some = rows.join(want, op)
     if done is not None:
         held = done.groupBy(op).agg(F.sum("n").alias("__done"))
-        some = some.join(F.broadcast(held), op, "left").withColumn("__want", F.col("__want") - F.coalesce("__done", F.lit(0))).drop("__done")
+        some = some.join(held, op, "left").withColumn("__want", F.col("__want") - F.coalesce("__done", F.lit(0))).drop("__done")
     turn = numbered(some, [op, *cell], order, "__turn")
     return numbered(turn, [op], ["__turn", *cell, *order], "__place").where("__place < __want").select(*rows.columns)
 
@@ -247,14 +266,14 @@ def take_skip(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """rows with split: the first n are `validation`, the rest `train`. n is a whole number, not a share: a stream's length is not known."""
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise ValueError("a stream's validation rows are a whole number")
-    ranked = numbered(rows.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    ranked = numbered(rows, [], order, "__n")
     return ranked.select(*rows.columns, F.when(F.col("__n") < n, "validation").otherwise("train").alias("split"))
 
 
 def buffer_shuffled(rows: DataFrame, order: list[str], size: int, seed: int = 42) -> DataFrame:
     """rows with buffer and position: consecutive buffers of `size` rows, each in a seeded order of its own. A buffer is one task's, and its
     size the bound."""
-    ranked = numbered(rows.withColumn("__g", F.lit(0)), ["__g"], order, "__n")
+    ranked = numbered(rows, [], order, "__n")
     ranked = ranked.withColumn("buffer", F.floor(F.col("__n") / size).cast("long"))
     place = F.row_number().over(Window.partitionBy("buffer").orderBy(hashed(seed, "__n"), "__n")) - 1
     return ranked.withColumn("position", F.col("buffer") * size + place).select(*rows.columns, "buffer", "position")

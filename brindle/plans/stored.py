@@ -106,7 +106,7 @@ def _(spark, d):
 @query("micro_batch_restore", "select s_suppkey as row, round(s_acctbal * 2, 4) as result from supplier")
 def _(spark, d):
     x = t(spark, d, "supplier").select(F.col("s_suppkey").alias("row"), "s_acctbal")
-    dealt = S.numbered(x.withColumn("g", F.lit(0)), ["g"], ["s_acctbal", "row"], "place")
+    dealt = S.numbered(x, [], ["s_acctbal", "row"], "place")
     results = dealt.select("place", F.round(F.col("s_acctbal") * 2, 4).alias("result"))
     return R.restored(results, dealt, "place", "row").select("row", "result")
 
