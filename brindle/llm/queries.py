@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, langid, lines, mixing, neardup, tokenops, toxicity
+from . import ann, fim, jaccard, langid, licenses, lines, mixing, neardup, tokenops, toxicity, whitening
 from .common import load
 
 
@@ -37,10 +37,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": _on_documents(tokenops.op8),
         "op9_embedding_near_dedup": lambda spark, sf_dir: neardup.op9(load(spark, sf_dir, "embeddings")),
         "op10_jaccard_join": _on_documents(op10),
+        "op11_fill_in_middle": _on_documents(fim.op11),
+        "op12_embedding_whitening": lambda spark, sf_dir: whitening.op12(load(spark, sf_dir, "embeddings")),
+        "op13_license_scan": _on_documents(licenses.op13),
         "pipeline": pipeline,
     }
 
 
 #: What SQL can say of these operators' rows in full. Op10 has quadratic pairs, which DuckDB can't do on
-#: whole tables in time; the others learn, draw, encode or hash: all are tested against brute force.
-ORACLE: dict[str, str] = {}
+#: whole tables in time; most others learn, draw, encode, turn or hash: those are tested against brute force.
+ORACLE: dict[str, str] = {"op11_fill_in_middle": fim.SQL, "op13_license_scan": licenses.SQL}
