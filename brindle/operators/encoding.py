@@ -161,9 +161,9 @@ def folded(df: DataFrame, order: str, size: int, value: str) -> DataFrame:
     return one.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
 
-def short_prompts(df: DataFrame, prompt: str, most: int, path: str) -> DataFrame:
-    """Rows whose prompt has at most `most` tokens of the tokenizer file at `path`, without added special tokens; a null prompt has none. Whole texts are
-    counted, in Arrow batches; the tokenizer is loaded once a task."""
+def token_count(text: Column, path: str) -> Column:
+    """Tokens of a text by the tokenizer file at `path`, without added special tokens; a null text has none. Whole texts are counted, in Arrow batches; the
+    tokenizer is loaded once a task."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
@@ -175,4 +175,9 @@ def short_prompts(df: DataFrame, prompt: str, most: int, path: str) -> DataFrame
             parts = [texts.iloc[i : i + 64].fillna("").tolist() for i in range(0, len(texts), 64)]
             yield pd.Series([len(e.ids) for p in parts for e in tokenizer.encode_batch(p, add_special_tokens=False)], dtype="int64")
 
-    return df.where(F.pandas_udf(count, "long")(F.col(prompt).cast("string")) <= most)
+    return F.pandas_udf(count, "long")(text.cast("string"))
+
+
+def short_prompts(df: DataFrame, prompt: str, most: int, path: str) -> DataFrame:
+    """Rows whose prompt has at most `most` tokens of the tokenizer file at `path`."""
+    return df.where(token_count(F.col(prompt), path) <= most)
