@@ -38,14 +38,27 @@ def gsm8k_flexible(text: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda x: ~x.isin("", ".")), F.lit(-1))
 
 
+#: What graders replace, in the order applied.
+REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
+#: What graders leave out, in the order applied.
+LEFT_OUT = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples",
+    "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots",
+]
+
+
 def minerva_normal(text: Column) -> Column:
-    """The side after the last `=`, without units, dollars, `\\text` wrappers, blanks and thousands commas."""
+    """The side after the last `=`, without REPLACED and LEFT_OUT, dollars, text, bold, line and box wrappers and thousands commas; short roots and fractions with braces."""
     t = F.element_at(F.split(text, "="), -1)
-    # fixed values: words that graders leave out
-    t = F.regexp_replace(t, r"\b(an|a|the|square|ways|integers|dollars|mph|inches|hours|km|units|points|feet|minutes|digits|cents|degrees|cm|gm|pounds|meters|meals|edges|students|multiples)\b", "")
-    t = F.regexp_replace(t, r"\\text\{(.*?)\}", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\(boxed|overline|textbf)\{(.*)\}", "$2"), r"[$\s]", "")
-    return F.when(t.rlike(r"^[\d,]+$"), F.regexp_replace(t, ",", "")).otherwise(t)
+    for old, new in [*REPLACED, *((x, "") for x in LEFT_OUT)]:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.regexp_replace(t, r".*?\$(.*?)\$.*", r"\$$1\$")
+    for wrapper in ("text", "textbf", "overline"):
+        t = F.regexp_replace(t, rf"\\{wrapper}\{{(.*?)\}}", "$1")
+    t = F.regexp_replace(t, r"\\boxed\{(.*)\}", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"frac([^{])(.)", r"frac{$1}{$2}"), r"sqrt([^{])", r"sqrt{$1}")
+    t = F.trim(F.replace(t, F.lit("$"), F.lit("")))
+    return F.when(t.rlike(r"^[\d,]*\d[\d,]*$"), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
 
 
 def minerva_score(text: Column, gold: Column) -> Column:
@@ -74,6 +87,11 @@ def boxed(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def strict_box_score(text: Column, gold: Column, last: int = 100) -> Column:
+    """1 if the last box within the text's last so many characters holds gold as it is written, else -1."""
+    return F.when(F.coalesce(boxed(F.right(text, F.lit(last))) == gold, F.lit(False)), 1.0).otherwise(-1.0)
+
+
 def latex_normal(text: Column) -> Column:
     """Without blanks, sizes, dollars, degrees, per cent and text units; one-digit \\frac and \\sqrt with braces; a/b as \\frac; 0 before a dot."""
     t = F.regexp_replace(text, r"\n|\\!|\\left|\\right|\\\$|\$|\^\{\\circ\}|\^\\circ|\\%|%", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import answers as N
+from brindle.functions import equality as Q
 from brindle.plans.queries import query, t
 
 
@@ -95,3 +96,36 @@ def _(spark, d):
     K, S = keys()
     p = N.path_parts(F.concat(F.lit("root/ctx"), S, F.lit("/"), "p_type", F.lit("/op"), S, F.lit(".jsonl")))
     return part(spark, d).select("p_partkey", N.pick_text(F.when(K % 3 == 0, F.col("p_name")).when(K % 3 == 1, " \n"), F.col("p_brand")).alias("text"), *[c.alias(k) for k, c in p.items()])
+
+
+PAIR = "select p_partkey, p_size::bigint as s, p_partkey % 7 + 1 as k, p_partkey % 9 as kind from part"
+
+
+@query("math_equality", f"""select p_partkey, kind not in (1, 3, 5, 8) as strict, kind not in (5, 8) as loose from ({PAIR})""")
+def _(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 9).alias("kind"))
+    s, k = F.col("s"), F.col("k")
+    text = lambda form, *c: F.format_string(form, *c)
+    pairs = [  # equal: reordered, a fraction not reduced (loosely), expanded, a hundredth (loosely), a root, other intervals (never), elements, a mixed number, another number (never)
+        (text("x + %d", s), text("%d+x", s)),
+        (text("%d/%d", s * 2, k * 2 + 2), text("%d/%d", s, k + 1)),
+        (text("(x+%d)(x-%d)", s, k), text("x^2 + %d*x - %d*x - %d", s, k, s * k)),
+        (text("0.%02d5", s), text("%d.5", s)),
+        (text("\\sqrt{%d}", s * k * k * 2), text("%d\\sqrt{%d}", k, s * 2)),
+        (text("[%d, %d)", s, s + k), text("(%d, %d)", s, s + k)),
+        (text("(%d, x/%d)", s, k), text("(%d,\\frac{x}{%d})", s, k)),
+        (text("%d 1/2", s), text("%d/2", s * 2 + 1)),
+        (text("%d", s), text("%d", s + k)),
+    ]
+    given, gold = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (a, b) in enumerate(pairs):
+        given, gold = F.when(F.col("kind") == i, a).otherwise(given), F.when(F.col("kind") == i, b).otherwise(gold)
+    p = p.withColumn("given", given).withColumn("gold", gold)
+    return p.select("p_partkey", Q.math_equal(F.col("given"), F.col("gold"), strict=True).alias("strict"), Q.math_equal(F.col("given"), F.col("gold")).alias("loose"))
+
+
+@query("strict_box", "select p_partkey, case p_partkey % 3 when 0 then 1.0 else -1.0 end::double as score from part")
+def _(spark, d):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.when(k % 3 == 1, ".0").otherwise(""), F.lit("}"), F.when(k % 3 == 2, F.repeat(F.lit("."), 100)).otherwise("."))
+    return t(spark, d, "part").select("p_partkey", N.strict_box_score(text, F.col("p_size").cast("string")).alias("score"))
