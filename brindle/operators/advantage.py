@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .sampling import cumulated
+
 EPS = 1e-6
 
 
@@ -248,20 +251,32 @@ def clip_cov_loss(tokens: DataFrame, seq: str, order: list[str], share: float, l
 
 
 def resampled(df: DataFrame, id_col: str, weight: Column, n: int, seed: int = 3) -> DataFrame:
-    """n rows drawn with replacement in proportion to weight (PF-PPO), as (draw, id): seeded uniforms meet cumulative weights in a range join. The
-    rows of one batch: they and the draws fit in a task each."""
-    from pyspark.sql.window import Window as W
-
-    run = W.orderBy(id_col)
-    cum = df.select(id_col, weight.cast("double").alias("w")).withColumn("hi", F.sum("w").over(run)).withColumn("lo", F.col("hi") - F.col("w"))
-    total = cum.agg(F.max("hi")).first()[0] or 0.0
-    u = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / (1 << 40) * total).alias("u"))
-    return u.join(cum, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", id_col)
+    """n rows drawn with replacement in proportion to weight (PF-PPO), as (draw, id): a seeded uniform for each draw falls into a row's stretch of the
+    cumulated weights. Both are cut into n stretches of equal width and meet by these, so no row is compared with every draw: a row lies in as
+    many as its weight spans, n and a row each in all. Null ids and weights that are null or not above 0 are never drawn; without any weight there are no rows."""
+    held = df.select(id_col, weight.cast("double").alias("__w")).where(F.col(id_col).isNotNull() & (F.col("__w") > 0))
+    cum = cumulated(held, [id_col], "__w", "__hi").withColumn("__lo", F.col("__hi") - F.col("__w"))
+    total = cum.agg(F.max("__hi")).first()[0]
+    if total is None:
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField("draw", T.LongType()), df.schema[id_col]]))
+    stretch = lambda x: F.least(F.floor(x / total * n), F.lit(n - 1))
+    u = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / (1 << 40) * total).alias("__u"))
+    u = u.withColumn("__at", stretch(F.col("__u")))
+    spans = cum.withColumn("__at", F.explode(F.sequence(stretch(F.col("__lo")), stretch(F.col("__hi")))))
+    met = u.join(spans, "__at").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
+    # rounding may leave a gap or an overlap where two stretches meet: the first row counts, and a draw that met none takes the next row up
+    first = met.groupBy("draw").agg(F.min_by(id_col, "__lo").alias(id_col))
+    lost = u.join(first, "draw", "left_anti")
+    after = lost.join(spans, "__at").where(F.col("__hi") > F.col("__u")).groupBy("draw").agg(F.min_by(id_col, "__lo").alias(id_col))
+    return first.unionByName(after)
 
 
 def pf_weight(score: Column, least: Column, most: Column, how: str, power: float = 2.0) -> Column:
-    """pow: |score|^power; max_min: 1 for the best and the worst, else 0."""
-    return F.abs(score) ** power if how == "pow" else ((score == least) | (score == most)).cast("double")
+    """pow: |score|^power; max_min: 1 for the best and the worst, else 0; max_random: 0.4 for the best, else 0.1. None is 0: 1e-8 comes on top."""
+    if how not in ("pow", "max_min", "max_random"):
+        raise ValueError(f"no way of weighing: {how}")
+    extreme = F.when(score == most, 0.4).otherwise(0.1) if how == "max_random" else ((score == least) | (score == most)).cast("double")
+    return (F.abs(score) ** power if how == "pow" else extreme) + 1e-8
 
 
 def adaptive_kl(steps: DataFrame, by: list[str], order: str, kl: str, n: str, init: float, target: float, horizon: float) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,15 +86,33 @@ def _overlap(a: Column, b: Column):
     return lambda s, x: s + F.least(times(a, x), times(b, x))
 
 
-def bootstrap(df: DataFrame, by: list[str], order: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """(mean, std) over rounds of the mean of as many values drawn with replacement as a group has. The group's values are an array: groups
-    are a prompt's samples. Draws hash (seed, round, place), so reruns agree."""
-    one = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
-    long = one.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), "round", i), F.size("v")).cast("int")
-    drawn = F.transform("v", lambda x, i: F.get("v", place(i)))
-    means = long.select(*by, (F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("m"))
-    return means.groupBy(*by).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("std"))
+#: What a resample of values becomes: mean, best@n, worst@n.
+REDUCERS: dict[str, Callable[[Column], Column]] = {
+    "mean": lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v),
+    "best": F.array_max,
+    "worst": F.array_min,
+}
+
+
+def bootstrap(df: DataFrame, by: list[str], order: str, value: str, rounds: int = 1000, seed: int = 42, size: int | None = None, reducer: str | Callable[[Column], Column] = "mean") -> DataFrame:
+    """(mean, std) over rounds of a reducer (of REDUCERS, or a function of an array) of `size` values (null: as many as a group has) drawn with replacement.
+    The group's values are an array: groups are a prompt's samples. Rounds are computed in the group's row, so nothing is multiplied by
+    them. Draws hash (seed, round, place), so reruns agree; null values are left out, and a group without others has none."""
+    one = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
+    reduce = REDUCERS[reducer] if isinstance(reducer, str) else reducer
+    places = F.sequence(F.lit(0), (F.lit(size) if size else F.size("v")) - 1)
+    drawn = lambda r: F.transform(places, lambda i: F.get("v", F.pmod(F.xxhash64(F.lit(seed), r, i), F.size("v")).cast("int")))
+    each = one.select(*by, F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.get(F.transform(F.array(drawn(r)), reduce), F.lit(0)).cast("double")).alias("m"))
+    mean = each.withColumn("mean", REDUCERS["mean"](F.col("m")))
+    std = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("m"))
+    return mean.select(*by, F.round("mean", 6).alias("mean"), F.round(std, 6).alias("std"))
+
+
+def majority_of(drawn: Column) -> Column:
+    """Of an array of (vote, value) the value of the first of those with the most frequent vote, ties to the vote met first: a reducer of bootstrap()."""
+    votes = F.transform(drawn, lambda x: F.struct(F.size(F.filter(drawn, lambda y: y["vote"] == x["vote"])).alias("n"), x["value"].alias("value")))
+    most = F.array_max(F.transform(votes, lambda x: x["n"]))
+    return F.get(F.filter(votes, lambda x: x["n"] == most), F.lit(0))["value"]
 
 
 def imbalance(lengths: DataFrame, part: str, balanced: str, length: str) -> DataFrame:
@@ -101,11 +123,17 @@ def imbalance(lengths: DataFrame, part: str, balanced: str, length: str) -> Data
 
 
 def smoothed(series: Column) -> Column:
-    """Exponential smoothing from the first value, with the weight 1.8 (sigmoid(0.05 n) - 0.5) of a series of n."""
-    w = 1.8 * (1 / (1 + F.exp(-0.05 * F.size(series))) - 0.5)
-    first = F.array(F.element_at(series, 1).cast("double"))
-    rest = F.slice(series, F.lit(2), F.greatest(F.size(series) - 1, F.lit(0)))
-    return F.aggregate(rest, first, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) * w + (1 - w) * x)))
+    """Exponential smoothing from the first value, with the weight 1.8 (sigmoid(0.05 n) - 0.5) of a series of n. A series is a curve to plot, in one array; the
+    time is in proportion to its length."""
+
+    def run(all_series: pd.Series) -> pd.Series:
+        out = []
+        for v in all_series:
+            w = 1.8 * (1 / (1 + math.exp(-0.05 * len(v))) - 0.5) if v is not None else 0.0
+            out.append(None if v is None else pd.Series(v, dtype=float).ewm(alpha=1 - w, adjust=False).mean().tolist())
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(series)
 
 
 def drift(tokens: DataFrame, by: list[str], rollout: Column, actor: Column, mask: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from .sampling import numbered
 
 SEPARATOR = "\n--FIELD--\n"
+#: An odd number whose multiples lie far apart modulo 2^64.
+STEP = 0x9E3779B97F4A7C15
 
 
 def round_robin_lookup(rows: DataFrame, gold: DataFrame, keys: list[str], order: list[str], gold_order: list[str]) -> DataFrame:
@@ -55,13 +59,39 @@ def exact_dedup(df: DataFrame, by: list[str], fields: list[str], order: str, sho
     return df.withColumn("digest", digest).groupBy(*by, "digest").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies"))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signature(text: str, n: int, perms: int) -> np.ndarray:
+    """For s in 1 .. perms the least of h * a + b over the hashes h of a text's n-character windows, with a = mixed(s) made odd and b = mixed(s + STEP); a shorter
+    text is one window."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    s, one = np.arange(1, perms + 1, dtype=np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        k = min(n, len(code))
+        h = np.zeros(len(code) - k + 1, np.uint64)
+        for i in range(k):
+            h = h * np.uint64(STEP) + code[i : i + len(h)]
+        h, at = mixed(h + np.uint64(k)), np.empty_like(h)
+        out = np.empty(perms, np.uint64)
+        for i, (a, b) in enumerate(zip(mixed(s) | one, mixed(s + np.uint64(STEP)), strict=True)):
+            np.multiply(h, a, out=at)
+            at += b
+            out[i] = at.min()
+        return out.view(np.int64)
+
+
 def minhash(df: DataFrame, text: str, n: int, perms: int) -> DataFrame:
-    """df with signature: least seeded hash of lower-case n-character shingles; a shorter text is one shingle."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    sh = F.when(F.length(t) <= n, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
-    hashes = F.transform(F.array_distinct(sh), lambda x: F.xxhash64(x))
-    perm = lambda s: F.array_min(F.transform(F.col("__h"), lambda x: F.xxhash64(F.lit(s), x)))
-    return df.withColumn("__h", hashes).withColumn("signature", F.array(*[perm(s) for s in range(perms)])).drop("__h")
+    """df with signature: see signature(), over whole texts in Arrow batches; a null text is an empty one."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([signature(x or "", n, perms) for x in texts])
+
+    return df.withColumn("signature", F.pandas_udf(run, "array<long>")(text))
 
 
 def band_keys(df: DataFrame, bands: int, rows: int) -> DataFrame:

@@ -45,6 +45,23 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     return rows.join(first, same).select(*df.columns, (F.col("__at") - F.col("__first")).alias(name))
 
 
+def cumulated(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to and with each one, in an order that tells rows apart: rows are dealt by ranges once and written with their
+    partition; each adds up its own, on top of the partitions' sums before (a row a partition)."""
+    spark, at = df.sparkSession, shared_folder(df.sparkSession, "cumulated")
+    part = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    part.write.parquet(at)
+    part = spark.read.schema(part.schema).parquet(at)
+    sums = {r["__part"]: r["s"] for r in part.groupBy("__part").agg(F.sum(value).alias("s")).toLocalIterator()}
+    starts, before = [], 0.0
+    for p in sorted(sums):
+        starts.append((p, float(before)))
+        before += sums[p] or 0
+    base = F.broadcast(spark.createDataFrame(starts, "__part int, __start double"))  # a row a partition
+    run = F.sum(F.col(value).cast("double")).over(Window.partitionBy("__part").orderBy(*order))
+    return part.withColumn(name, run).join(base, "__part").select(*df.columns, (F.col(name) + F.col("__start")).alias(name))
+
+
 def hashed(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 

@@ -70,7 +70,7 @@ def _(spark, d):
 @query("pf_resample")
 def _(spark, d):
     c = t(spark, d, "supplier")
-    return A.resampled(c, "s_suppkey", A.pf_weight(F.col("s_acctbal"), F.lit(0), F.lit(0), "pow"), 500)
+    return A.resampled(c, "s_suppkey", A.pf_weight(F.col("s_acctbal"), F.lit(0), F.lit(0), "pow"), c.count())
 
 
 @query("overlong_penalty", "select p_partkey, round(least(-(p_size - 20) / 10 * 0.5, 0), 6) as penalty from part")
@@ -139,7 +139,23 @@ def _(spark, d):
 
 @query("bootstrap_metric")
 def _(spark, d):
-    return V.bootstrap(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 100)
+    return V.bootstrap(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
+
+
+@query("bootstrap_best")
+def _(spark, d):
+    return V.bootstrap(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", size=4, reducer="best")
+
+
+@query(
+    "ema_users",
+    """with recursive s as (select user_id, list(value order by event_id) as v from events group by 1), w as (select *, 1.8 * (1 / (1 + exp(-0.05 * len(v))) - 0.5) as w from s),
+  f as (select user_id, 1 as i, v[1] as y from w union all select w.user_id, i + 1, y * w + (1 - w) * v[i + 1] from f join w using (user_id) where i < len(v)) select user_id, count(*) as n, round(sum(y), 3) as total from f group by 1""",
+)
+def _(spark, d):
+    s = t(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    s = s.withColumn("y", V.smoothed(F.col("v")))
+    return s.select("user_id", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query("length_imbalance", "with l as (select o_orderkey // 1000 as p, o_orderkey % 4 as b, o_custkey as n from orders), a as (select sum(n) as s from l group by p), c as (select sum(n) as s from l group by b) select (select min(s) from a)::bigint as min, (select max(s) from a)::bigint as max, (select max(s) - min(s) from a)::bigint as minmax_diff, (select round(avg(s), 4) from a) as mean, (select min(s) from c)::bigint as balanced_min, (select max(s) from c)::bigint as balanced_max")

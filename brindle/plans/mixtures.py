@@ -40,10 +40,22 @@ def _(spark, d):
     return out.groupBy(F.col("c_mktsegment").alias("mkt")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_custkey").alias("ids"))
 
 
-@query("balanced_allocation", "select * from (values ('A', 1, 13), ('A', 2, 13), ('A', 3, 14), ('B', 1, 6), ('B', 2, 6), ('B', 3, 6), ('C', 1, 13), ('C', 2, 13), ('C', 3, 13)) v(context, op, n)")
+@query(
+    "balanced_allocation",
+    """with c as (select c_mktsegment as context, count(*) as n from customer group by 1), o as (select distinct c_nationkey % 4 as op from customer), z as (select sum(n) as rows, floor(sum(n) * 0.37)::bigint as total, (select count(*) from o) as k, count(*) as contexts from c),
+  e as (select context, n / rows * total / k as exact, total, k, contexts from c, z), f as (select *, floor(exact + 1e-9)::bigint as each, row_number() over (order by exact - floor(exact + 1e-9) desc, context) as r from e),
+  l as (select *, total - sum(each) over () * k as rest from f), g as (select *, each + case when r <= rest // k then 1 else 0 end as per, rest - least(rest // k, contexts) * k as last from l),
+  p as (select context, op, (per + case when r = 1 and row_number() over (partition by context order by op desc) <= last then 1 else 0 end)::bigint as n from g, o), h as (select c_mktsegment as context, c_nationkey % 4 as op, count(*) as have from customer group by 1, 2)
+  select context, op, n, case when have > 0 then n else 0 end::bigint as drawn, least(n, coalesce(have, 0))::bigint as ids from p left join h using (context, op)""",
+)
 def _(spark, d):
-    plan = S.balanced([("A", 0.4), ("B", 0.2), ("C", 0.4)], [1, 2, 3], 97)
-    return spark.createDataFrame([(c, o, n) for (c, o), n in plan.items()], "context string, op int, n int")
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("context"), (F.col("c_nationkey") % 4).alias("op"))
+    held = rows.groupBy("context").count().orderBy("context").collect()  # a row a context
+    ops, n = sorted(r.op for r in rows.select("op").distinct().collect()), sum(r["count"] for r in held)
+    plan = S.balanced([(r.context, r["count"] / n) for r in held], ops, int(n * 0.37))
+    out = S.drawn(rows, ["context", "op"], "c_custkey", plan).groupBy("context", "op").agg(F.count(F.lit(1)).alias("drawn"), F.count_distinct("c_custkey").alias("ids"))
+    asked = spark.createDataFrame([(c, o, k) for (c, o), k in plan.items()], "context string, op int, n long")
+    return asked.join(out, ["context", "op"], "left").na.fill(0, ["drawn", "ids"])
 
 
 @query(
@@ -156,7 +168,7 @@ def _(spark, d):
 
 @query("pack_supervised", "select count(*) as ids, sum(x)::bigint as total from (select unnest(range(1, p_size + 1)) as x from part where p_size <= 40)")
 def _(spark, d):
-    p = t(spark, d, "part").select((F.col("p_partkey") % 1).alias("batch"), F.col("p_partkey").alias("row"), F.sequence(F.lit(1), F.col("p_size")).alias("ids"))
+    p = t(spark, d, "part").select(F.floor(F.col("p_partkey") / 1000).alias("batch"), F.col("p_partkey").alias("row"), F.sequence(F.lit(1), F.col("p_size")).alias("ids"))
     out = B.packed_rows(p, "batch", "row", "ids", 40)
     used = F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] > 0)
     return out.select(F.explode(used).alias("x")).agg(F.count(F.lit(1)).alias("ids"), F.sum("x.input_ids").alias("total"))

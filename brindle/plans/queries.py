@@ -220,7 +220,7 @@ def _(spark, d):
 
 @query("minhash_bands")
 def _(spark, d):
-    return R.band_keys(R.minhash(t(spark, d, "benchmark"), "text", 5, 64), 8, 8).select("item_id", "band", "band_key")
+    return R.band_keys(R.minhash(t(spark, d, "documents").select("doc_id", "text"), "text", 5, 64), 8, 8).select("doc_id", "band", "band_key")
 
 
 @query("op_budget", "with p as (select o_orderpriority as op, count(*) as w from orders group by 1), s as (select op, w, round(w / sum(w) over () * 1001, 9) as s from p), r as (select *, floor(s) as f, row_number() over (order by round(s - floor(s), 9) desc, op) as r from s) select op, w, (f + case when r <= 1001 - sum(f) over () then 1 else 0 end)::bigint as budget from r")
