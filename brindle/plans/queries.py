@@ -369,4 +369,4 @@ def _(spark, d):
     return t(spark, d, "part").select("p_partkey", X.few_shot(F.col("p_name"), {"A": F.col("p_brand"), "B": F.col("p_type")}, F.lit("B")).alias("example"))
 
 
-from brindle.plans import aligned, generated, graded, graphs, measured, mixtures, stored  # noqa: E402, F401  they register theirs
+from brindle.plans import aligned, generated, graded, graphs, measured, mixtures, stored, streamed  # noqa: E402, F401  they register theirs
