@@ -13,7 +13,7 @@ from brindle.operators import packing as B
 from brindle.operators import relational as R
 from brindle.operators import sampling as S
 from brindle.plans.queries import query, t
-from brindle.sources import io
+from brindle.sources import io, registry
 from brindle.streaming import replay
 
 SAID = """select p_partkey, case p_partkey % 5 when 0 then 'So. Answer: ' || p_size || '.' when 1 then 'x \\boxed{1} then \\Boxed{' || p_size || '}' when 2 then '**Answer: ' || p_size || '** ok'
@@ -257,3 +257,23 @@ def _(spark, d):
     import public_tokenizers
 
     return E.short_prompts(t(spark, d, "conversations").select("conv_id", "turn", "text"), "text", 64, public_tokenizers.path("word_bpe_49k.json")).select("conv_id", "turn")
+
+
+@query("registry_scan", "select 'nations' as dataset, n_nationkey::bigint as id, n_name as text from nation union all select 'regions', r_regionkey, r_name from region union all select 'parts', p_partkey, p_name from part")
+def _(spark, d):
+    top = io.shared_folder(spark, "registry")
+    t(spark, d, "nation").write.parquet(f"{top}/nations.parquet")
+    t(spark, d, "region").write.option("header", True).csv(f"{top}/regions.csv")
+    t(spark, d, "part").select(F.col("p_partkey").alias("op"), F.col("p_name").alias("problem")).write.json(f"{top}/parts")
+    rows = [("nations", "file", f"{top}/nations.parquet", '{"id": "n_nationkey", "text": "n_name"}', None, None), ("regions", "file", f"{top}/regions.csv", '{"id": "r_regionkey", "text": "r_name"}', '{"header": "true"}', None), ("parts", "tree", f"{top}/parts", '{"id": "op", "text": "problem"}', None, None), ("small", None, None, None, None, "nations,regions")]
+    e = registry.entries(spark.createDataFrame(rows, "name string, kind string, path string, columns string, options string, parts string"))
+    return registry.load(spark, e, ["small", "parts"]).select("dataset", F.col("id").cast("long").alias("id"), "text")
+
+
+@query("rollout_cache", "select p_partkey, upper(p_name) as answer from part")
+def _(spark, d):
+    top = io.shared_folder(spark, "rollouts")
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    made = registry.rollouts(spark, top, p, {"n": 1}, lambda x: x.select("p_partkey", F.upper("p_name").alias("answer")))
+    hit = registry.rollouts(spark, top, p.repartition(5), {"n": 1}, lambda x: x.select("p_partkey", F.raise_error(F.lit("made twice")).cast("string").alias("answer")))
+    return hit.select(made.columns)
