@@ -88,6 +88,27 @@ def pairwise(prompt: Column, chosen: Column, rejected: Column, cut: int) -> dict
     return out
 
 
+def feedback(prompt: Column, answer: Column, kl_prompt: Column, kl_answer: Column, good: Column, cut: int) -> dict[str, Column]:
+    """Ids and labels of an answer, those of a mismatched pair (another row's answer) by which divergence is estimated, and whether the answer is a good one."""
+    out = {}
+    for name, p, a in (("", prompt, answer), ("kl_", kl_prompt, kl_answer)):
+        one = supervised(p, a, cut)
+        out |= {f"{name}{k}": one[k] for k in ("input_ids", "labels", "attention_mask")}
+    return out | {"kto_tags": good}
+
+
+def unsupervised(prompt: Column, answer: Column, cut: int) -> dict[str, Column]:
+    """Ids of a prompt to answer, and as labels the answer alone: each cut to its share."""
+    s, t = infer_lengths(F.size(prompt), F.size(answer), F.lit(cut))
+    ids = F.slice(prompt, 1, s.cast("int"))
+    return {"input_ids": ids, "labels": F.slice(answer, 1, t.cast("int")), "attention_mask": F.array_repeat(F.lit(1), F.size(ids))}
+
+
+def block_mask(mask: Column) -> Column:
+    """A packed row's attention as rows of 1 and 0: an id sees itself and those before it in its own segment; padding (0) sees and is seen by nothing."""
+    return F.transform(mask, lambda x, i: F.transform(mask, lambda y, j: ((x == y) & (x > 0) & (j <= i)).cast("int")))
+
+
 def turn_mask(turns: Column) -> Column:
     """1 for each id of an assistant's turn, 0 for the others; turns: array of (role, ids)."""
     return F.flatten(F.transform(turns, lambda t: F.array_repeat((t["role"] == "assistant").cast("int"), F.size(t["ids"]))))

@@ -178,3 +178,61 @@ def consistency(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(kinds) if c in types])
     cells = [F.struct(F.lit(c).alias("name"), F.col("rows"), (F.col(f"n{i}") if c in types else F.lit(0).cast("long")).alias("filled"), F.lit(types.get(c) == k).alias("typed")) for i, (c, k) in enumerate(kinds.items())]
     return one.select(F.inline(F.array(*cells)))
+
+
+def estimated_pass(rates: DataFrame, by: list[str], rate: str, ks: list[int]) -> DataFrame:
+    """pass@k of prompts whose share of right answers is `rate`, as 1 - (1 - rate)^k: its mean by group and k."""
+    each = rates.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    return each.groupBy(*by, "k").agg(F.round(F.avg(1 - F.pow(1 - F.col(rate), F.col("k"))), 6).alias("pass_at_k"))
+
+
+def weighted_accuracy(rows: DataFrame, by: list[str], accuracy: str, n: str) -> DataFrame:
+    """Accuracies of several runs as one, by their number of examples."""
+    return rows.groupBy(*by).agg(F.round(F.sum(F.col(accuracy) * F.col(n)) / F.sum(n), 2).alias("accuracy"))
+
+
+def throughput(rows: DataFrame, by: list[str], tokens: str, seconds: str, devices: int, samples: int, step_seconds: int) -> DataFrame:
+    """Milliseconds a token, tokens a second and device, and effective tokens a second: those of `samples` answers over a step's time."""
+    n, s = F.sum(tokens), F.sum(seconds)
+    return rows.groupBy(*by).agg(F.round(s / n * 1000, 6).alias("ms_per_token"), F.round(n / (s * devices), 6).alias("tokens_per_second"), F.round(n * samples / step_seconds, 4).alias("effective"))
+
+
+def pairwise_accuracy(rows: DataFrame, by: list[str], chosen: Column, rejected: Column) -> DataFrame:
+    """The share of pairs whose chosen answer scores above the rejected one."""
+    return rows.groupBy(*by).agg(F.round(F.avg((chosen > rejected).cast("int")), 6).alias("accuracy"))
+
+
+def op_histogram(rows: DataFrame, op: Column) -> DataFrame:
+    """Rows of each op, as text, in its order."""
+    return rows.groupBy(op.cast("string").alias("op")).agg(F.count(F.lit(1)).alias("n")).orderBy("op")
+
+
+def spread(value: str) -> list[Column]:
+    """mean, max, min and std of a value over all rows, wherever they lie."""
+    return [F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.round(F.stddev_samp(value), 6).alias("std")]
+
+
+def valid_ratio(mask: str, rate: float, batch: int) -> list[Column]:
+    """The share of unmasked tokens, and a learning rate that grows with the root of their number over `batch`."""
+    m = F.sum(mask)
+    return [F.round(m / F.count(F.lit(1)), 6).alias("ratio"), F.round(rate * F.sqrt(m / batch), 9).alias("lr")]
+
+
+def validation_pass(df: DataFrame, source: str, uid: str, order: str, value: str, ns: list[int], rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, n, best_mean, best_std, worst_mean, worst_std) of best@n and worst@n, bootstrapped by (source, uid), then their mean by source. Prompts of fewer than n answers
+    count for no n above their number."""
+    out = None
+    for n in ns:
+        enough = df.groupBy(source, uid).agg(F.count(value).alias("__n")).where(F.col("__n") >= n).select(source, uid)
+        some = df.join(enough, [source, uid])
+        best, worst = (bootstrap(some, [source, uid], order, value, rounds, seed, n, how).select(source, uid, F.col("mean").alias(f"{how}_mean"), F.col("std").alias(f"{how}_std")) for how in ("best", "worst"))
+        names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+        one = best.join(worst, [source, uid]).groupBy(source).agg(*[F.round(F.avg(c), 6).alias(c) for c in names]).select(source, F.lit(n).alias("n"), *names)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def vote_value(df: DataFrame, by: list[str], vote: str, value: str, order: str) -> DataFrame:
+    """The value of each group's most common vote: that of its first row; of equally common votes the one seen first counts."""
+    n = df.groupBy(*by, vote).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.min_by(value, order).alias(value))
+    return n.groupBy(*by).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))

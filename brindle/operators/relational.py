@@ -173,3 +173,17 @@ def used_keys(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """The columns that a registry names (new name: column), under the new names; those that the table lacks are null."""
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")).alias(k) for k, c in names.items()])
+
+
+def where_equal(df: DataFrame, wanted: dict[str, object] | str) -> DataFrame:
+    """Rows that equal all of the wanted values, compared as text; wanted may be text of the form `column=value,column=value`. A null equals nothing; an unknown column is an error."""
+    if isinstance(wanted, str):
+        pairs = [x.partition("=") for x in wanted.split(",") if x.strip()]
+        if any(not mark for _, mark, _ in pairs):
+            raise ValueError(f"not column=value: {wanted!r}")
+        wanted = {k.strip(): v.strip() for k, _, v in pairs}
+    for k, v in wanted.items():
+        if k not in df.columns:
+            raise KeyError(k)
+        df = df.where(F.col(f"`{k}`").cast("string") == F.lit(str(v)))
+    return df

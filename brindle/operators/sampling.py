@@ -178,6 +178,50 @@ def interleaved(frames: list[DataFrame], order: str, stop: str = "first") -> Dat
     return out
 
 
+def fraction(seed: int, key: Column) -> Column:
+    """A number from 0 to below 1: the first 32 bits of sha256(seed:key)."""
+    text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def interleaved_by(frames: list[DataFrame], order: str, shares: list[float], stop: str = "first", seed: int = 42) -> DataFrame:
+    """Rows of several tables with position, the table of each position drawn by its share: until a table that is exhausted is drawn again, or (stop='all') until
+    all have been exhausted, the others from their start again. Draws are of (seed, position). An empty table ends it at once, by either rule."""
+    sizes = [f.count() for f in frames]
+    if not frames or len(shares) != len(frames) or min(shares, default=0) <= 0:
+        raise ValueError("each table wants a share above 0")
+    spark, edges, run = frames[0].sparkSession, [], 0.0
+    for share in shares[:-1]:
+        run += share / sum(shares)
+        edges.append(run)
+    source = F.lit(len(frames) - 1)
+    for i in reversed(range(len(edges))):
+        source = F.when(F.col("__u") < edges[i], i).otherwise(source)
+    # the first table drawn once more than it has rows comes by this many draws; all have been drawn out by as many again, or more are drawn
+    most = sum(sizes) + len(frames) if stop == "first" else 2 * math.ceil(max(n / (s / sum(shares)) for n, s in zip(sizes, shares, strict=True))) + 64
+    if min(sizes) == 0:
+        most = 0
+    while True:
+        drawn_ = spark.range(most).select(F.col("id").alias("position")).withColumn("__u", fraction(seed, F.col("position"))).select("position", source.alias("source"))
+        drawn_ = numbered(drawn_, ["source"], ["position"], "__turn")
+        size = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("source") + 1)
+        if stop == "first":
+            end = drawn_.where(F.col("__turn") == size).agg(F.min("position")).first()[0]
+            end = most if end is None else end
+            break
+        last = drawn_.where(F.col("__turn") == size - 1).agg(F.count("position"), F.max("position")).first()
+        end = last[1] + 1 if last[0] == len(frames) else most
+        if last[0] == len(frames) or not most:
+            break
+        most *= 2
+    held = drawn_.where(F.col("position") < end).withColumn("__place", F.col("__turn") % size)
+    out = None
+    for i, f in enumerate(frames):
+        rows = numbered(f, [], [order], "__place").join(held.where(F.col("source") == i).select("position", "__place"), "__place").drop("__place")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def merged_lines(a: DataFrame, b: DataFrame, c: DataFrame, order: str) -> DataFrame:
     """Two rows of a, one of b and one of c in turn while all three last, then the rest of a."""
     place = lambda f: numbered(f, [], [order], "place")
@@ -201,6 +245,19 @@ def gathered(df: DataFrame, row: str, index: list[int]) -> DataFrame:
     return table.join(df, row)
 
 
+def gathered_by(df: DataFrame, row: str, keep: DataFrame) -> DataFrame:
+    """Rows by a mask (row, keep) over their numbers, in their order, with position from 0; numbers that the mask lacks go. A mask's null is false."""
+    some = df.join(keep.where("keep").select(row), row, "left_semi")
+    return numbered(some, [], [row], "position")
+
+
+def repeated_by(df: DataFrame, order: str, times: str) -> DataFrame:
+    """Each row as often as its own `times` says, copies side by side, with rep (from 0 in each row) and position (from 0 over all). A null or negative number is 0."""
+    n = F.greatest(F.coalesce(times, F.lit(0)), F.lit(0)).cast("int")
+    rep = df.where(n > 0).withColumn("rep", F.explode(F.sequence(F.lit(0), n - 1)))
+    return numbered(rep, [], [order, "rep"], "position")
+
+
 def aligned_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Columns of both tables by key; a column of both must have equal values, null and NaN equal to themselves, or it is an error."""
     both = [c for c in a.columns if c in b.columns and c != key]

@@ -166,3 +166,24 @@ def _(spark, d):
 @query("fold_rows", "select n_nationkey // 4 as fold, array_to_string(list(n_name order by n_nationkey), ',') as names from nation group by 1")
 def _(spark, d):
     return E.folded(t(spark, d, "nation"), "n_nationkey", 4, "n_name").select("fold", F.array_join("values", ",").alias("names"))
+
+
+@query(
+    "encode_feedback",
+    """with p as (select p_partkey, p_size as s, p_partkey % 6 + 1 as k, p_partkey % 5 + 2 as a from part)
+  select p_partkey, s + k <= 24 as whole, p_size_ids as n_ids, n_kl from (select p_partkey, s, k, a, least(s + k, 24) as p_size_ids, least(s + a, 24) as n_kl from p)""",
+)
+def _(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_size").alias("s"), (F.col("p_partkey") % 6 + 1).cast("int").alias("k"), (F.col("p_partkey") % 5 + 2).cast("int").alias("a"))
+    ids = lambda n: F.sequence(F.lit(1), n)
+    e = E.feedback(ids(F.col("s")), ids(F.col("k")), ids(F.col("s")), ids(F.col("a")), F.col("s") + F.col("k") <= 24, 24)
+    return p.select("p_partkey", e["kto_tags"].alias("whole"), F.size(e["input_ids"]).cast("long").alias("n_ids"), F.size(e["kl_labels"]).cast("long").alias("n_kl"))
+
+
+@query("block_masks", "with p as (select p_partkey, p_size % 5 + 1 as a, p_partkey % 4 as b, p_partkey % 3 as z from part) select p_partkey, a + b + z as width, (a * (a + 1) // 2 + b * (b + 1) // 2)::bigint as ones from p")
+def _(spark, d):
+    p = t(spark, d, "part").select("p_partkey", (F.col("p_size") % 5 + 1).cast("int").alias("a"), (F.col("p_partkey") % 4).cast("int").alias("b"), (F.col("p_partkey") % 3).cast("int").alias("z"))
+    mask = F.concat(F.array_repeat(F.lit(1), F.col("a")), F.array_repeat(F.lit(2), F.col("b")), F.array_repeat(F.lit(0), F.col("z")))
+    m = p.select("p_partkey", E.block_mask(mask).alias("m"))
+    ones = F.aggregate(F.flatten("m"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return m.select("p_partkey", F.size("m").cast("long").alias("width"), ones.alias("ones"))

@@ -97,7 +97,7 @@ def _(spark, d):
 
 @query("pairwise_accuracy", "select c_mktsegment, round(avg(case when c_acctbal > c_custkey * 3 then 1 else 0 end), 6) as accuracy from customer group by 1")
 def _(spark, d):
-    return t(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg((F.col("c_acctbal") > F.col("c_custkey") * 3).cast("int")), 6).alias("accuracy"))
+    return V.pairwise_accuracy(t(spark, d, "customer"), ["c_mktsegment"], F.col("c_acctbal"), F.col("c_custkey") * 3)
 
 
 WORDS = "select item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as g from benchmark"
@@ -200,14 +200,12 @@ def _(spark, d):
 
 @query("throughput", "select event_type, round(sum(value) / sum(user_id) * 1000, 6) as ms_per_token, round(sum(user_id) / (sum(value) * 8), 6) as tokens_per_second, round(sum(user_id) * 3 / 60, 4) as effective from events group by 1")
 def _(spark, d):
-    tok, s = F.sum("user_id"), F.sum("value")
-    return t(spark, d, "events").groupBy("event_type").agg(F.round(s / tok * 1000, 6).alias("ms_per_token"), F.round(tok / (s * 8), 6).alias("tokens_per_second"), F.round(tok * 3 / 60, 4).alias("effective"))
+    return V.throughput(t(spark, d, "events"), ["event_type"], "user_id", "value", 8, 3, 60)
 
 
 @query("valid_token_ratio", f"select user_id % 5 as g, round(sum(mask) / count(*), 6) as ratio, round(1e-4 * sqrt(sum(mask) / 1000), 9) as lr, round(avg(logp), 6) as mean, max(logp) as max, min(logp) as min, round(stddev_samp(logp), 6) as std from ({TOK}) group by 1")
 def _(spark, d):
-    m = F.sum("mask")
-    return tokens(spark, d).groupBy((F.col("user_id") % 5).alias("g")).agg(F.round(m / F.count(F.lit(1)), 6).alias("ratio"), F.round(1e-4 * F.sqrt(m / 1000), 9).alias("lr"), F.round(F.avg("logp"), 6).alias("mean"), F.max("logp").alias("max"), F.min("logp").alias("min"), F.round(F.stddev_samp("logp"), 6).alias("std"))
+    return tokens(spark, d).groupBy((F.col("user_id") % 5).alias("g")).agg(*V.valid_ratio("mask", 1e-4, 1000), *V.spread("logp"))
 
 
 @query("kl_sequence_mean", f"select round(avg(k), 6) as kl from (select sum((logp - old) * mask) / (sum(mask) + 1e-8) as k from ({TOK}) group by user_id)")
@@ -223,4 +221,15 @@ def _(spark, d):
 
 @query("op_histogram", "select l_linenumber::varchar as op, count(*) as n from lineitem group by 1")
 def _(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("op")).agg(F.count(F.lit(1)).alias("n")).orderBy("op")
+    return V.op_histogram(t(spark, d, "lineitem"), F.col("l_linenumber"))
+
+
+@query("vote_value", "with v as (select o_custkey, o_orderpriority as vote, count(*) as n, min(o_orderkey) as first, arg_min(o_totalprice, o_orderkey) as o_totalprice from orders group by 1, 2) select o_custkey, o_totalprice from v qualify row_number() over (partition by o_custkey order by n desc, first) = 1")
+def _(spark, d):
+    return V.vote_value(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_totalprice", "o_orderkey")
+
+
+@query("validation_pass")
+def _(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("uid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), "l_quantity")
+    return V.validation_pass(x, "source", "uid", "row", "l_quantity", [2, 4, 8])

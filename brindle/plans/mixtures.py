@@ -172,3 +172,35 @@ def _(spark, d):
     out = B.packed_rows(p, "batch", "row", "ids", 40)
     used = F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] > 0)
     return out.select(F.explode(used).alias("x")).agg(F.count(F.lit(1)).alias("ids"), F.sum("x.input_ids").alias("total"))
+
+
+PICKED = """with u as (select i as position, ('0x' || substr(sha256('42:' || i), 1, 8))::bigint / 4294967296.0 as u from range({}) r(i)), s as (select position, case when u < 0.25 then 0 else 1 end as source from u), n as (select *, row_number() over (partition by source order by position) - 1 as turn from s),
+  a as (select s_suppkey as k, 0 as source, row_number() over (order by s_suppkey) - 1 as place, count(*) over () as size from supplier union all select c_custkey, 1, row_number() over (order by c_custkey) - 1, count(*) over () from customer), z as (select distinct source, size from a)"""
+
+
+@query("interleave_by_shares", PICKED.format(20000) + ", e as (select min(position) as last from n join z using (source) where turn = size) select k, position from n join a on a.source = n.source and a.place = n.turn, e where position < last")
+def _(spark, d):
+    frames = [t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), t(spark, d, "customer").select(F.col("c_custkey").alias("k"))]
+    return S.interleaved_by(frames, "k", [0.25, 0.75])
+
+
+@query("interleave_by_shares_all", PICKED.format(60000) + ", e as (select max(position) as last from n join z using (source) where turn = size - 1) select k, position from n join z using (source) join a on a.source = n.source and a.place = n.turn % z.size, e where position <= last")
+def _(spark, d):
+    frames = [t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), t(spark, d, "customer").select(F.col("c_custkey").alias("k"))]
+    return S.interleaved_by(frames, "k", [0.25, 0.75], "all")
+
+
+@query("mask_gather", "select o_orderkey, row_number() over (order by o_orderkey) - 1 as position from orders where o_orderstatus = 'F'")
+def _(spark, d):
+    o = t(spark, d, "orders")
+    return S.gathered_by(o.select("o_orderkey"), "o_orderkey", o.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("keep")))
+
+
+@query("repeat_ragged", "select p_partkey, rep::int as rep, row_number() over (order by p_partkey, rep) - 1 as position from (select p_partkey, unnest(range(p_size % 4)) as rep from part)")
+def _(spark, d):
+    return S.repeated_by(t(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("n")), "p_partkey", "n").drop("n")
+
+
+@query("filter_equal", "select c_custkey from customer where c_mktsegment = 'BUILDING' and c_nationkey = 7")
+def _(spark, d):
+    return R.where_equal(t(spark, d, "customer"), "c_mktsegment=BUILDING, c_nationkey=7").select("c_custkey")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from brindle.functions import text as X
 from brindle.operators import advantage as A
+from brindle.operators import evaluation as V
 from brindle.operators import metrics as M
 from brindle.operators import packing as B
 from brindle.operators import relational as R
@@ -62,13 +63,12 @@ def _(spark, d):
 @query("estimated_pass", "with p as (select l_linenumber as op, l_suppkey, avg(case when l_returnflag='R' then 1.0 else 0.0 end) as p from lineitem group by 1, 2) select op, k, round(avg(1 - pow(1 - p, k)), 6) as pass_at_k from (select op, p, unnest([1,2,4,8]) as k from p) group by 1, 2")
 def _(spark, d):
     p = t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("op"), "l_suppkey").agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("p"))
-    p = p.withColumn("k", F.explode(F.array(*map(F.lit, [1, 2, 4, 8]))))
-    return p.groupBy("op", "k").agg(F.round(F.avg(1 - F.pow(1 - F.col("p"), F.col("k"))), 6).alias("pass_at_k"))
+    return V.estimated_pass(p, ["op"], "p", [1, 2, 4, 8])
 
 
 @query("weighted_accuracy", "select o_orderpriority as model, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 2) as accuracy from orders group by 1")
 def _(spark, d):
-    return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.round(F.sum(F.col("o_totalprice") * F.col("o_custkey")) / F.sum("o_custkey"), 2).alias("accuracy"))
+    return V.weighted_accuracy(t(spark, d, "orders").withColumn("model", F.col("o_orderpriority")), ["model"], "o_totalprice", "o_custkey")
 
 
 @query("trapezoid_auc", "with p as (select event_type, user_id % 20 as x, avg(value) as y from events group by 1, 2), w as (select event_type, (x - lag(x) over q) * (y + lag(y) over q) / 2 as a from p window q as (partition by event_type order by x)) select event_type, round(100 * coalesce(sum(a), 0), 4) as auc from w group by 1")

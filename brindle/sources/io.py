@@ -34,13 +34,6 @@ def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger, "file", "left_anti")
 
 
-def result_lines(lines: DataFrame) -> DataFrame:
-    """length, op and accuracy of result lines (`length: 8000, op: 3, acc: 0.5`); others go."""
-    get = lambda name, pattern: F.regexp_extract("value", rf"{name}:\s*({pattern})", 1)
-    out = lines.select(get("length", r"\w+").alias("length"), get("op", r"\d+").try_cast("int").alias("op"), get("acc", r"[0-9.]+").try_cast("double").alias("accuracy"))
-    return out.where("op is not null and accuracy is not null")
-
-
 def write_parts(df: DataFrame, path: str, by: str, rows: int = 1000) -> None:
     """JSON lines by a column's value, at most `rows` a file."""
     df.write.mode("append").option("maxRecordsPerFile", rows).partitionBy(by).json(path)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import advantage as A
+from brindle.operators import encoding as E
 from brindle.operators import evaluation as V
 from brindle.operators import packing as B
 from brindle.operators import relational as R
@@ -103,3 +104,46 @@ def test_minhash_bands_by_hand(spark):
     bands = R.band_keys(R.minhash(spark.createDataFrame(rows, "doc_id long, text string"), "text", 5, 4), 2, 2).collect()
     keys = {(r.doc_id, r.band): r.band_key for r in bands}
     assert len(bands) == 10 and keys[1, 0] == keys[4, 0] and keys[1, 1] == keys[4, 1] and keys[1, 0] != keys[2, 0]
+
+
+def test_best_and_worst_of_n(spark):
+    rows = [(s, u, i, float((7 * i + u) % 10)) for s in range(2) for u in range(3) for i in range(10 if u else 3)]
+    got = {(r.source, r.n): r for r in V.validation_pass(spark.createDataFrame(rows, "source long, uid long, i long, v double"), "source", "uid", "i", "v", [2, 4]).collect()}
+    assert set(got) == {(0, 2), (0, 4), (1, 2), (1, 4)}
+    # ten values 0 .. 9: the best of n draws; of three values the prompt counts for n = 2 alone
+    best = lambda xs, n: sum(x * (((k + 1) / len(xs)) ** n - (k / len(xs)) ** n) for k, x in enumerate(sorted(xs)))
+    three = [float(7 * i % 10) for i in range(3)]
+    assert abs(got[0, 4].best_mean - best(range(10), 4)) < 0.2 and abs(got[0, 2].best_mean - (2 * best(range(10), 2) + best(three, 2)) / 3) < 0.2
+    assert abs(got[1, 4].best_mean + got[1, 4].worst_mean - 9) < 0.3 and got[1, 4].best_std > 0
+
+
+def test_packed_attention_and_feedback(spark):
+    df = spark.createDataFrame([([1, 1, 2, 0],), ([],)], "m array<int>")
+    got = [r[0] for r in df.select(E.block_mask(F.col("m"))).collect()]
+    assert got == [[[1, 0, 0, 0], [1, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]], []]
+    x = spark.createDataFrame([([1, 2], [3, 4], [1, 2], [9], True)], "p array<int>, a array<int>, kp array<int>, ka array<int>, good boolean")
+    e = E.feedback(*map(F.col, ("p", "a", "kp", "ka", "good")), 10)
+    r = x.select(*[c.alias(k) for k, c in e.items()]).first()
+    assert (r.input_ids, r.labels, r.kl_input_ids, r.kl_labels, r.kto_tags) == ([1, 2, 3, 4], [-100, -100, 3, 4], [1, 2, 9], [-100, -100, 9], True)
+    u = E.unsupervised(F.col("p"), F.col("a"), 3)
+    r = x.select(*[c.alias(k) for k, c in u.items()]).first()
+    assert len(r.input_ids) + len(r.labels) <= 3 and r.input_ids == [1, 2][: len(r.input_ids)] and r.labels == [3, 4][: len(r.labels)]
+
+
+def test_draws_by_share_and_ragged_rows(spark):
+    one, two = spark.range(5).withColumn("t", F.lit("a")), spark.range(100, 140).withColumn("t", F.lit("b"))
+    first = S.interleaved_by([one, two], "id", [1.0, 3.0]).orderBy("position").collect()
+    assert [r.position for r in first] == list(range(len(first))) and [r.id for r in first if r.t == "a"] == list(range(sum(r.t == "a" for r in first)))
+    every = S.interleaved_by([one, two], "id", [1.0, 3.0], "all").collect()
+    assert {r.id for r in every} == {*range(5), *range(100, 140)} and sum(r.t == "b" for r in every) >= 40
+    assert S.interleaved_by([one, two.where("false")], "id", [1.0, 1.0]).count() == 0
+    with pytest.raises(ValueError):
+        S.interleaved_by([one, two], "id", [1.0, 0.0])
+    x = spark.createDataFrame([(1, 2), (2, None), (3, -1), (4, 1)], "k long, n int")
+    assert [(r.k, r.rep, r.position) for r in S.repeated_by(x, "k", "n").orderBy("position").collect()] == [(1, 0, 0), (1, 1, 1), (4, 0, 2)]
+    keep = spark.createDataFrame([(1, True), (3, None), (4, True), (9, True)], "k long, keep boolean")
+    assert [(r.k, r.position) for r in S.gathered_by(x.select("k"), "k", keep).orderBy("k").collect()] == [(1, 0), (4, 1)]
+    assert [r.k for r in R.where_equal(x, "n=2").collect()] == [1] and R.where_equal(x, {"k": 2, "n": "None"}).count() == 0
+    for bad, error in (("n", ValueError), ("other=1", KeyError)):
+        with pytest.raises(error):
+            R.where_equal(x, bad)
