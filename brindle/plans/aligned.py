@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions import chat as C
 from brindle.operators import encoding as E
 from brindle.plans.queries import query, t
 
@@ -187,3 +188,22 @@ def _(spark, d):
     m = p.select("p_partkey", E.block_mask(mask).alias("m"))
     ones = F.aggregate(F.flatten("m"), F.lit(0).cast("long"), lambda s, x: s + x)
     return m.select("p_partkey", F.size("m").cast("long").alias("width"), ones.alias("ones"))
+
+
+@query(
+    "chat_templates",
+    "select conv_id, string_agg(case role when 'user' then '<|im_start|>user' || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) else coalesce(text, '') || '<|im_end|>' || chr(10) end, '' order by turn, role, coalesce(text, '')) as rendered, count(*) as turns from conversations where role in ('user', 'assistant') group by 1",
+)
+def _(spark, d):
+    x = t(spark, d, "conversations").where("role in ('user', 'assistant')")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))))
+    parts = C.rendered(F.col("turns"), C.TEMPLATES["chatml"])
+    return x.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join(parts, "").alias("rendered"), F.size(parts).cast("long").alias("turns"))
+
+
+@query("tool_dialects", "select p_partkey, d as dialect, true as same from part, (select unnest(['default', 'glm4', 'llama3', 'mistral', 'qwen', 'glm4_moe', 'seed_oss']) as d)")
+def _(spark, d):
+    one = F.struct(F.concat(F.lit("tool_"), F.col("p_size").cast("string")).alias("name"), F.format_string('{"name": "%s", "size": %d}', F.col("p_name"), F.col("p_size")).alias("arguments"))
+    p = t(spark, d, "part").select("p_partkey", F.array(one).alias("calls"))
+    back = [F.struct(F.lit(name).alias("dialect"), (C.read_calls(C.written_calls(F.col("calls"), name), name) == F.col("calls")).alias("same")) for name in C.DIALECTS]
+    return p.select("p_partkey", F.explode(F.array(*back)).alias("x")).select("p_partkey", "x.dialect", "x.same")
