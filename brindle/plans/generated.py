@@ -12,12 +12,13 @@ from brindle.operators import graph as G
 from brindle.operators import symbolic as Y
 from brindle.plans.queries import query, t
 
-TEMPLATE = F.element_at(F.array(*[F.lit(x) for x in N.TEMPLATES]), (F.col("seed") % len(N.TEMPLATES) + 1).cast("int"))
+def template() -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in N.TEMPLATES]), (F.col("seed") % len(N.TEMPLATES) + 1).cast("int"))
 
 
 def seeds(spark, d, table: str = "part", key: str = "p_partkey", ops: int = 16):
     """Seeds, op counts of 2 and more, and templates from a table's keys."""
-    return t(spark, d, table).select(F.col(key).cast("long").alias("seed")).withColumn("op", (F.col("seed") % ops + 2).cast("int")).withColumn("template", TEMPLATE)
+    return t(spark, d, table).select(F.col(key).cast("long").alias("seed")).withColumn("op", (F.col("seed") % ops + 2).cast("int")).withColumn("template", template())
 
 
 def needed() -> Column:
