@@ -60,7 +60,23 @@ def grpo_pass_k(df: DataFrame, s: str, uid: str, order: str) -> DataFrame:
     return out.withColumn("advantage", F.when(F.col("__r") == 1, F.col("__d") / (F.stddev_samp(s).over(w) + EPS)).otherwise(0.0)).drop("__r", "__d")
 
 
-ESTIMATORS: dict[str, Callable] = {"grpo": grpo, "rloo": rloo, "opo": opo, "gpg": gpg}
+#: Advantages of answers by name: (df, names of score, group, order and length) -> df with advantage. More may be added.
+ESTIMATORS: dict[str, Callable[..., DataFrame]] = {
+    "grpo": lambda df, s, uid, order, length: df.withColumn("advantage", grpo(F.col(s), uid)),
+    "dr_grpo": lambda df, s, uid, order, length: df.withColumn("advantage", grpo(F.col(s), uid, by_std=False)),
+    "rloo": lambda df, s, uid, order, length: df.withColumn("advantage", rloo(F.col(s), uid)),
+    "opo": lambda df, s, uid, order, length: df.withColumn("advantage", opo(F.col(s), F.col(length), uid)),
+    "gpg": lambda df, s, uid, order, length: df.withColumn("advantage", gpg(F.col(s), uid, gpg_alpha(df, s))),
+    "grpo_passk": lambda df, s, uid, order, length: grpo_pass_k(df, s, uid, order),
+    "reinforce_plus_plus_baseline": lambda df, s, uid, order, length: reinforce_baseline(df, s, uid, length),
+}
+
+
+def advantages(df: DataFrame, estimator: str, s: str = "s", uid: str = "uid", order: str = "i", length: str = "length") -> DataFrame:
+    """df with advantage by the estimator named; an unknown name is an error. Groups are a prompt's answers."""
+    if estimator not in ESTIMATORS:
+        raise KeyError(f"no such estimator: {estimator}")
+    return ESTIMATORS[estimator](df, s, uid, order, length)
 
 
 def returns_to_go(df: DataFrame, uid: str, t: str, reward: Column) -> Column:

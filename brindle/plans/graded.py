@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import answers as N
 from brindle.functions import equality as Q
+from brindle.operators import rewards as W
 from brindle.plans.queries import query, t
 
 
@@ -129,3 +130,19 @@ def _(spark, d):
     k = F.col("p_partkey")
     text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.when(k % 3 == 1, ".0").otherwise(""), F.lit("}"), F.when(k % 3 == 2, F.repeat(F.lit("."), 100)).otherwise("."))
     return t(spark, d, "part").select("p_partkey", N.strict_box_score(text, F.col("p_size").cast("string")).alias("score"))
+
+
+@query(
+    "managed_rewards",
+    """with p as (select p_partkey, p_size::double as s, p_partkey % 3 as kind, p_partkey % 2 as good from part), r as (select p_partkey, s, case when kind = 1 then case when good = 1 then 1.0 else -1.0 end else good end::double as score from p)
+  select p_partkey, score as naive, round(score + least(0, -(s - 30) / 20 * 0.5), 6) as overlong, round(case when score > 0 then 0.25 * (s / 50) + 0.75 * score else 0 end, 6) as blend from r""",
+)
+def _(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_size").alias("length"), (F.col("p_size") / 50.0).alias("process"), (F.col("p_partkey") % 3).alias("kind"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_size")).otherwise(F.col("p_size") + 1).cast("string").alias("said"), F.col("p_size").cast("string").alias("gold"))
+    p = p.withColumn("source", F.element_at(F.array(*map(F.lit, ("words", "contest", "sums"))), (F.col("kind") + 1).cast("int")))
+    p = p.withColumn("text", F.when(F.col("kind") == 1, F.concat(F.lit("Answer: "), "said")).when(F.col("kind") == 2, F.concat(F.lit("so \\boxed{"), "said", F.lit("}"))).otherwise(F.concat(F.lit("<answer>"), "said", F.lit("</answer>"))))
+    rules = {"words": "qa", "contest": "dapo", "sums": "math"}
+    one = W.rewarded(p, "naive", rules).withColumnRenamed("reward", "naive")
+    two = W.rewarded(one, "overlong", rules, most=50, buffer=20, factor=0.5).withColumnRenamed("reward", "overlong").drop("score")
+    three = W.rewarded(two, "blend", rules, process="process", share=0.25)
+    return three.select("p_partkey", "naive", F.round("overlong", 6).alias("overlong"), F.round("reward", 6).alias("blend"))

@@ -118,6 +118,21 @@ def _(spark, d):
     return scores(spark, d).select("uid", "i", "p", "x", F.round(A.rloo(s, "uid"), 6).alias("rloo"), F.round(A.opo(s, F.col("x"), "uid"), 6).alias("opo"))
 
 
+@query(
+    "advantage_by_name",
+    f"""with s as ({SCORES}), g as (select uid, i, s, x, count(*) over w as n, avg(s) over w as m, stddev_samp(s) over w as sd, sum(x * s) over w / sum(x) over w as b, row_number() over (partition by uid order by s desc, i, p, q, x) as r from s window w as (partition by uid)), a as (select (select count(*) from s) / greatest(1, (select count(*) from s where s <> 0)) as alpha)
+  select name, count(*) as n, round(sum(case name when 'grpo' then case when n = 1 then s / (1 + 1e-6) else (s - m) / (sd + 1e-6) end when 'dr_grpo' then case when n = 1 then s else s - m end when 'rloo' then case when n > 1 then (s - m) * n / (n - 1) else s end when 'opo' then case when n = 1 then s else s - b end else alpha * case when n = 1 then s else s - m end end * x / 1e5), 3) as total
+  from g, a, (select unnest(['grpo', 'dr_grpo', 'rloo', 'opo', 'gpg']) as name) group by 1""",
+)
+def _(spark, d):
+    x = scores(spark, d).withColumn("length", F.col("x"))
+    parts = [A.advantages(x, name).select(F.lit(name).alias("name"), (F.col("advantage") * F.col("x") / 1e5).alias("v")) for name in ("grpo", "dr_grpo", "rloo", "opo", "gpg")]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"))
+
+
 @query("advantage_pass_k", "with s as (select o_custkey as uid, o_orderkey as i, o_totalprice as s from orders), r as (select *, row_number() over (partition by uid order by s desc, i) as r, stddev_samp(s) over (partition by uid) as sd, lead(s) over (partition by uid order by s desc, i) as s2 from s) select uid, i, round(case when r = 1 then (s - s2) / (sd + 1e-6) else 0.0 end, 5) as advantage from r")
 def _(spark, d):
     s = t(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("s"))

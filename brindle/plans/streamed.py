@@ -47,3 +47,29 @@ def _(spark, d):
     start = pool.select("op").distinct().withColumn("weight", F.lit(1.0))
     reward = lambda b: b.withColumn("reward", (F.col("p_partkey") % (F.col("op") + 2) == 0).cast("double"))
     return W.curriculum(pool, start, "op", "p_partkey", reward, io.shared_folder(spark, "curriculum"), 3, 100, target=0.4, rate=2.0)
+
+
+def events(spark, d):
+    # watermarks want a time with a zone
+    return replay.stream(spark, f"{d}/events*.parquet", t(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "stream_sliding",
+    "select time_bucket(interval '20 minutes', ts) - k * interval '20 minutes' as start, event_type, count(*) as n, round(sum(value), 4) as total from events, range(3) r(k) group by 1, 2",
+)
+def _(spark, d):
+    top = io.shared_folder(spark, "sliding")
+    out = replay.replayed(replay.windowed(events(spark, d), "ts", "1 hour", "1 day", "event_type", "value", "20 minutes"), f"{top}/out", f"{top}/state", "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_sessions",
+    """with g as (select *, case when ts >= lag(ts) over w + interval '8 hours' or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from g)
+  select min(ts) as start, max(ts) + interval '8 hours' as "end", user_id, count(*) as n, round(sum(value), 4) as total from s group by user_id, k""",
+)
+def _(spark, d):
+    top = io.shared_folder(spark, "sessions")
+    out = replay.replayed(replay.sessions(events(spark, d), "ts", "8 hours", "1 day", "user_id", "value"), f"{top}/out", f"{top}/state", "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

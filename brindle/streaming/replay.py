@@ -29,9 +29,16 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def windowed(events: DataFrame, ts: str, length: str, late: str, by: str, value: str) -> DataFrame:
-    """Tumbling sums and counts; rows later than `late` go. Works on streams and tables alike."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+def windowed(events: DataFrame, ts: str, length: str, late: str, by: str, value: str, slide: str | None = None) -> DataFrame:
+    """Sums and counts by windows of a length, one every `slide` (null: end to end); rows later than `late` go. Works on streams and tables alike."""
+    window = F.window(ts, length, slide) if slide else F.window(ts, length)
+    return events.withWatermark(ts, late).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+
+
+def sessions(events: DataFrame, ts: str, gap: str, late: str, by: str, value: str) -> DataFrame:
+    """Sums and counts of each key's sessions: rows less than `gap` apart; a session ends a gap after its last row. Rows later than `late` go. Works on streams and tables alike."""
+    one = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"))
+    return one.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
 
 
 def first_seen(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
