@@ -295,6 +295,24 @@ def pf_weight(score: Column, least: Column, most: Column, how: str, power: float
     return (F.abs(score) ** power if how == "pow" else extreme) + 1e-8
 
 
+#: Policy losses by name: (tokens, seq, order, options) -> a row with loss. tokens: seq, order's columns, logp, old, adv, mask. More may be added.
+LOSSES: dict[str, Callable[..., DataFrame]] = {
+    "vanilla": lambda x, seq, order, mode="token-mean", **how: aggregate_loss(x.withColumn("__loss", clipped_loss(F.col("logp"), F.col("old"), F.col("adv"), **how)), seq, "__loss", "mask", mode),
+    "gspo": lambda x, seq, order, **how: sequence_ratio_loss(x, seq, **how),
+    "geo_mean": lambda x, seq, order, **how: geometric_mean_loss(x, seq, **how),
+    "gpg": lambda x, seq, order, **how: gpg_loss(x, seq, **how),
+    "kl_cov": lambda x, seq, order, **how: kl_cov_loss(x, seq, order, **how),
+    "clip_cov": lambda x, seq, order, **how: clip_cov_loss(x, seq, order, **how),
+}
+
+
+def policy_loss(tokens: DataFrame, name: str, seq: str, order: list[str], **how) -> DataFrame:
+    """The loss named; an unknown name is an error."""
+    if name not in LOSSES:
+        raise KeyError(f"no such loss: {name}")
+    return LOSSES[name](tokens, seq, order, **how)
+
+
 def adaptive_kl(steps: DataFrame, by: list[str], order: str, kl: str, n: str, init: float, target: float, horizon: float) -> DataFrame:
     """steps with kl_coef after each: the coefficient grows by 1 + clip(kl / target - 1, -0.2, 0.2) * n / horizon a step, from init. The table has a
     row a training step of a run."""

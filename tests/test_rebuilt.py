@@ -147,3 +147,52 @@ def test_draws_by_share_and_ragged_rows(spark):
     for bad, error in (("n", ValueError), ("other=1", KeyError)):
         with pytest.raises(error):
             R.where_equal(x, bad)
+
+
+def test_losses_by_name(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    rows = [(i // 20, i, *map(float, rng.normal(size=3) * [0.4, 0.4, 1]), int(i % 5 != 0)) for i in range(n)]
+    x = spark.createDataFrame(rows, "seq long, i long, logp double, old double, adv double, mask int")
+    f = lambda name, **how: A.policy_loss(x, name, "seq", ["i"], **how).first()["loss"]
+    logp, old, adv, mask = (np.array([r[k] for r in rows]) for k in (2, 3, 4, 5))
+    ratio = np.exp(logp - old)
+    plain, held = -adv * ratio, -adv * np.clip(ratio, 0.8, 1.2)
+    worst = np.maximum(plain, held)
+    dual = np.where(adv < 0, np.minimum(worst, -adv * 3), worst)
+    assert abs(f("vanilla") - (dual * mask).sum() / mask.sum()) < 1e-5
+    # of the tokens in bounds that are not clipped a share drawn by hash counts nothing
+    m = mask > 0
+    cov = (adv - adv[m].mean()) * (logp - logp[m].mean())
+    h = np.array([r.h for r in x.orderBy("i").select(F.xxhash64(F.lit(7), "i").cast("double").alias("h")).collect()])
+    may = np.flatnonzero(m & (held <= plain) & (cov >= 0.1) & (cov <= 5))
+    hit = may[np.argsort(-h[may], kind="stable")[: max(1, int(m.sum() * 0.05))]]
+    keep = np.ones(n)
+    keep[hit] = 0
+    assert 0 < len(hit) < len(may)
+    assert abs(f("clip_cov", share=0.05, low=0.2, high=0.2, bounds=(0.1, 5.0)) - (worst * keep * mask).sum() / mask.sum()) < 1e-5
+    assert {f(k) is not None for k in ("gspo", "geo_mean", "gpg", "kl_cov")} == {True}
+    with pytest.raises(KeyError):
+        f("other")
+    with pytest.raises(KeyError):
+        A.advantages(x, "other")
+
+
+def test_bleu_by_hand(spark):
+    from collections import Counter
+
+    pairs = [("a b c d e", "a b c d e"), ("a b c d", "a b x d e f"), ("a a a a", "a b"), ("x", "y"), ("the cat the cat on mat", "the cat sat on the mat"), ("b", "b c d")]
+    df = spark.createDataFrame([(p.split(), g.split()) for p, g in pairs], "p array<string>, g array<string>")
+    got = [r[0] for r in df.select(V.bleu4(F.col("p"), F.col("g"))).collect()]
+    for (p, g), b in zip(pairs, got, strict=True):
+        p, g = p.split(), g.split()
+        if not set(p) & set(g):
+            assert b == 0
+            continue
+        logs = 0
+        for n in range(1, 5):
+            a, c = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (p, g))
+            both = sum((a & c).values())
+            logs += math.log((both or 0.1) / max(1, sum(a.values())))
+        want = 100 * (1 if len(p) >= len(g) else math.exp(1 - len(g) / len(p))) * math.exp(logs / 4)
+        assert abs(b - want) < 1e-3
