@@ -1,9 +1,10 @@
 """Byte-level BPE with word ends over whole texts: pre-tokens, caches, batched numpy merges.
 
-A pre-token never holds white space, so a text whose characters are all plain (those for which
-lower-casing, composition and classes have no special cases) falls into white-space chunks that are
-encoded on their own; workers cache chunks and pre-tokens. Any other text, and any with the strings
-of special tokens, goes through the library's own normaliser and pre-tokeniser as a whole."""
+A pre-token never holds white space, and what the normaliser does to a character does not hang on what stands
+beyond white space, so every text falls into white-space chunks that are encoded on their own; workers cache
+chunks and pre-tokens. A chunk whose characters are all plain (those for which lower-casing, composition
+and classes have no special cases) is split by a pattern here; any other goes once through the library's
+normaliser and pre-tokeniser, and its pre-tokens through the same caches."""
 
 from __future__ import annotations
 
@@ -15,9 +16,11 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Bytes, about, and entries that each of a worker's two caches holds before it starts anew: beside little else, and in
-#: stages that come after others in the same workers.
-WIDE, NARROW = (40 << 20, 400_000), (12 << 20, 150_000)
+from .chunks import spread
+
+#: Bytes, about, and entries that each of a worker's two caches holds at most: beside little else, and in
+#: stages that come after others in the same workers. Characters of a key at most: longer ones are made anew.
+WIDE, NARROW, LONGEST = (40 << 20, 400_000), (12 << 20, 150_000), 512
 #: Printable ASCII, Latin-1 and Latin Extended-A and -B letters without U+0130; of white space the three plain kinds.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-žƀ-ǃȀ-ȟ]*")
 END = "</w>"
@@ -150,6 +153,40 @@ def supported(path: str) -> bool:
         return False
 
 
+class Cache:
+    """Values by string, in two generations: when the younger is half of what there is room for it becomes the older,
+    and the older one goes, so that strings in use stay. A value has as many bytes as four times its key's letters at most."""
+
+    def __init__(self, room: tuple[int, int]):
+        self.bytes, self.entries = room[0] // 2, room[1] // 2
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.held = 0
+
+    def look(self, keys: Iterable[str]) -> tuple[dict[str, object], list[str]]:
+        """The values of those keys that are here, and the other keys."""
+        found, missing, young, old = {}, [], self.young, self.old
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                self.put(k, v)
+                young, old = self.young, self.old
+            found[k] = v
+        return found, missing
+
+    def put(self, key: str, value: object) -> None:
+        if len(key) > LONGEST:
+            return
+        if len(self.young) >= self.entries or self.held >= self.bytes:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[key] = value
+        self.held += 5 * len(key)
+
+
 class Coder:
     """Encodes texts chunk by chunk through caches. values: what a batch of new pre-tokens (as UTF-8)
     maps to: their ids as little-endian unsigned 32-bit bytes, or (counts=True) their numbers of ids."""
@@ -159,102 +196,84 @@ class Coder:
 
         if not supported(path):
             raise ValueError(f"{path}: unsupported normaliser or pre-tokeniser")
-        self.path, self.values, self.counts, self.room = path, values, counts, room
+        self.path, self.values, self.counts = path, values, counts
         self.join = sum if counts else b"".join
-        self.words: dict[str, object] = {}
-        self.chunks: dict[str, object] = {"": self.join([])}
-        self.held = {"words": 0, "chunks": 0}
+        self.words, self.chunks = Cache(room), Cache(room)
         self.frequent: dict[str, object] = {}
         self.pieces = regex.compile(_pieces().pattern + "|\n").findall
         self.tok = library(path)
         # special strings are found in the raw text, longest first
-        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.special = {t: 1 if counts else np.array([i], "<u4").tobytes() for t, i in special.items()}
-        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        special = self.tok.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in special.values()):
+            raise ValueError(f"{path}: unsupported special tokens")
+        self.special = {t.content: 1 if counts else np.array([i], "<u4").tobytes() for i, t in special.items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = {x: b for b, x in enumerate(byte_letters())}
 
-    def hard(self, text: str) -> object:
-        """A text that the library must normalise and split."""
-        out = []
-        for part in self.marks.split(text):
-            if part in self.special:
-                out.append(self.special[part])
+    def hard(self, chunk: str) -> list[str | tuple[str]]:
+        """Pre-tokens of a chunk that the library must normalise and split; special strings as tuples of one."""
+        out: list[str | tuple[str]] = []
+        for i, part in enumerate(self.marks.split(chunk)):
+            if i % 2:
+                out.append((part,))
             elif part:
                 pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))
-                words = [bytes(map(self.letters.__getitem__, w)) for w, _ in pieces if w]
-                out += self.values(words) if words else []
-        return self.join(out)
-
-    def _room(self, name: str, more: Iterable[str], extra: int) -> dict[str, object]:
-        """The cache of that name, emptied first if what is to come would not fit. A value has as many bytes as four times its letters at most."""
-        held = getattr(self, name)
-        size = 5 * sum(map(len, more))
-        if len(held) + extra > self.room[1] or self.held[name] + size > self.room[0]:
-            held, self.held[name] = {"": self.join([])} if name == "chunks" else {}, 0
-            setattr(self, name, held)
-        self.held[name] += size
-        return held
+                out += [bytes(map(self.letters.__getitem__, w)).decode() for w, _ in pieces if w]
+        return out
+
+    def of_words(self, words: Iterable[str]) -> dict[str, object]:
+        """The values of distinct pre-tokens: of the frequent table, of the cache, else made in one batch."""
+        table = self.frequent
+        out, new = self.words.look([w for w in words if w not in table])
+        out.update((w, table[w]) for w in words if w in table)
+        if new:
+            for w, v in zip(new, self.values([w.encode() for w in new]), strict=True):
+                out[w] = v
+                self.words.put(w, v)
+        return out
 
     def of_chunks(self, chunks: list[str]) -> list:
         """The values of distinct chunks without white space."""
-        new = [c for c in chunks if c not in self.chunks]
-        known = self._room("chunks", new, len(new))
-        new = [c for c in chunks if c not in known]
+        known, new = self.chunks.look(chunks)
         if new:
-            parts = self.pieces("\n".join(new).lower())
-            distinct = set(parts) - {"\n"}
-            fresh = [w for w in distinct if w not in self.words and w not in self.frequent]
-            words = self._room("words", fresh, len(fresh))
-            words.update((w, self.frequent[w]) for w in distinct if w not in words and w in self.frequent)
-            fresh = [w for w in distinct if w not in words]
-            if fresh:
-                words.update(zip(fresh, self.values([w.encode() for w in fresh]), strict=True))
+            plain, mark, easy, rest = PLAIN.fullmatch, self.marks.search, [], []
+            for c in new:
+                (easy if plain(c) and not mark(c) else rest).append(c)
+            parts = self.pieces("\n".join(easy).lower())
+            split = [self.hard(c) for c in rest]
+            words = self.of_words({*parts, *(w for p in split for w in p if type(w) is str)} - {"\n"})
             at, join = 0, self.join
             ends = [i for i, w in enumerate(parts) if w == "\n"] + [len(parts)]
-            for c, end in zip(new, ends, strict=True):
+            for c, end in zip(easy, ends, strict=False):
                 known[c] = words[parts[at]] if end == at + 1 else join([words[w] for w in parts[at:end]])
                 at = end + 1
+            for c, p in zip(rest, split, strict=True):
+                known[c] = join([words[w] if type(w) is str else self.special[w[0]] for w in p])
+            for c in new:
+                self.chunks.put(c, known[c])
         return [known[c] for c in chunks]
 
-    def _spread(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Values of the distinct chunks, the chunk of each place, the text ends in places; which texts are hard."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        plain = PLAIN.fullmatch
-        easy = np.array([plain(t) is not None and "<|" not in t for t in texts], bool)
-        split = pc.ascii_split_whitespace(pa.array([t if e else "" for t, e in zip(texts, easy, strict=True)], pa.large_string()))
-        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
-        coded = split.values.dictionary_encode()
-        return self.of_chunks(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy().astype(np.int64), easy
+    def _spread(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Values of the distinct chunks, the chunk of each place, the text ends in places."""
+        chunks, place, ends = spread(texts)
+        return self.of_chunks(chunks), place, ends
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The number of ids of each text."""
-        values, place, ends, easy = self._spread(texts)
+        values, place, ends = self._spread(texts)
         each = np.array(values if self.counts else [len(v) >> 2 for v in values], np.int64)
         total = np.concatenate([[0], np.cumsum(each[place])])
-        out = total[ends[1:]] - total[ends[:-1]]
-        for i in np.flatnonzero(~easy):
-            v = self.hard(texts[i])
-            out[i] = v if self.counts else len(v) >> 2
-        return out
+        return total[ends[1:]] - total[ends[:-1]]
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and each text's number of ids."""
-        values, place, ends, easy = self._spread(texts)
+        values, place, ends = self._spread(texts)
         each = np.array([len(v) >> 2 for v in values], np.int64)
         blob = np.frombuffer(b"".join(values), "<u4")
         first = np.cumsum(each) - each
         ids, total = gather(blob, first[place], each[place])
         total = np.concatenate([[0], total])
-        n = total[ends[1:]] - total[ends[:-1]]
-        if easy.all():
-            return ids, n
-        parts, at = [], 0
-        for i in np.flatnonzero(~easy):
-            parts += [ids[at : total[ends[i]]], np.frombuffer(self.hard(texts[i]), "<u4")]
-            n[i], at = len(parts[-1]), total[ends[i]]
-        return np.concatenate([*parts, ids[at:]]), n
+        return ids, total[ends[1:]] - total[ends[:-1]]
 
 
 def gather(blob: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
