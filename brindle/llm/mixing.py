@@ -7,6 +7,8 @@ of every source's permuted blocks and shuffles what it got locally."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from .common import WORD, Scratch
 BLOCKS = 1 << 15
 #: Parts by hash of a block in which a source's quota ends.
 FINE = 1 << 12
+#: Words of an output shard, about, and the least and largest number of shards: an eighth of the blocks, so that a shard draws several.
+SHARD_WORDS, SHARDS = 1 << 24, (64, BLOCKS >> 3)
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -98,12 +102,13 @@ def plan(rows: list[tuple], weights, seed: int, shards: int) -> list[tuple]:
     return done
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), seed: int = 17, shards: int = 64, exact: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), seed: int = 17, shards: int | None = None, exact: bool = True) -> DataFrame:
     """Rows of docs with size, source_size, target, copies, part_words and shards.
 
     size: the text's words (null: 0). copies: whole copies that the mix takes, 0 to 2. part_words: the
     first words of one more copy, of the one document of a source where its quota ends (exact=False: that
-    document is taken whole or not, whichever comes nearer). shards: of each copy the output shard.
+    document is taken whole or not, whichever comes nearer). shards: of each copy the output shard, of as
+    many as there are SHARD_WORDS in the mix, within SHARDS, if their number is not given.
     No copies * size + part_words is above 2 * size. Sources of no words have target 0; documents of
     no words have size 0 and no copies unless their block is taken whole. Rows that repeat a doc_id and
     text are dealt alike but trimmed one by one. Null sources are one source, last in order. The same
@@ -123,6 +128,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), seed: int = 17, shards: int = 64, ex
     block = F.pmod(F.shiftrightunsigned("key", 17), F.col("blocks"))
     placed = sized.join(F.broadcast(counts), same).select("source", block.alias("b"), F.pmod("key", F.lit(FINE)).alias("fine"), "size")
     found = placed.groupBy("source", "b").agg(F.sum("size").alias("words")).collect()  # at most BLOCKS rows and a source's
+    if shards is None:
+        shards = min(max(SHARDS[0], math.ceil(1.5 * whole / SHARD_WORDS)), SHARDS[1])
     planned = plan([tuple(r) for r in found], weights, seed, shards)
     # where a source's quota ends within a block: of its FINE parts by hash the first are taken, one is cut
     ends = {(r[0], r[1]): r[3] for r in planned if r[3] > 0}

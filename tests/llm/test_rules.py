@@ -62,3 +62,13 @@ def test_fit_follows_the_non_negative_risk(prior):
     got, bias = toxicity.fit(owner, feature, toxic, prior, width, rounds=60)
     assert np.allclose(np.append(got, bias), w, atol=2e-3), (got, bias, w)
     assert prior == 0.1 or True in turned
+
+
+def test_shards_follow_the_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four " * (i % 5), f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    used = lambda: len({s for r in mixing.mix(docs).collect() for s in r.shards})
+    monkeypatch.setattr(mixing, "SHARDS", (4, 64))
+    few = used()
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)  # the mix takes 4,800 of 3,200 words: 16 shards
+    assert few == 4 and used() == 16
+    assert mixing.shuffled(mixing.mix(docs)).select("shard").distinct().count() == 16
