@@ -169,3 +169,85 @@ def read_calls(text: Column, dialect: str) -> Column:
         return texts.map(one)
 
     return F.pandas_udf(run, CALLS)(text)
+
+
+# ---- tools in a system turn ----------------------------------------------------------------------
+
+#: What a system turn says around its list of tools, by dialect; @tools, @names and @date stand for what is filled in.
+TOOLS_SAID = {
+    "default": 'You have access to the following tools:\n@toolsUse the following format if using a tool:\n```\nAction: tool name (one of [@names])\nAction Input: the input to the tool, in a JSON format representing the kwargs (e.g. ```{"input": "hello world", "num_beams": 5}```)\n```\n',
+    "glm4": "你是一个名为 ChatGLM 的人工智能助手。你是基于智谱 AI 公司训练的语言模型 GLM-4 模型开发的，你的任务是针对用户的问题和要求提供适当的答复和支持。\n\n# 可用工具@tools",
+    "llama3": 'Cutting Knowledge Date: December 2023\nToday Date: @date\n\nYou have access to the following functions. To call a function, please respond with JSON for a function call. Respond in the format {"name": function name, "parameters": dictionary of argument name and its value}. Do not use variables.\n\n@tools',
+    "mistral": "[AVAILABLE_TOOLS] @tools[/AVAILABLE_TOOLS]",
+    "qwen": '\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>@tools\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>',
+    "glm4_moe": "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>@tools\n</tools>\n\nFor each function call, output the function name and arguments within the following XML format:\n<tool_call>{function-name}\n<arg_key>{arg-key-1}</arg_key>\n<arg_value>{arg-value-1}</arg_value>\n<arg_key>{arg-key-2}</arg_key>\n<arg_value>{arg-value-2}</arg_value>\n...\n</tool_call>\n",
+    "seed_oss": "system\nYou are Doubao, a helpful AI assistant. You may call one or more functions to assist with the user query.Tool List:\nYou are authorized to use the following tools (described in JSON Schema format). Before performing any task, you must decide how to call them based on the descriptions and parameters of these tools.@tools\n工具调用请遵循如下格式:\n<seed:tool_call>\n<function=example_function_name>\n<parameter=example_parameter_1>value_1</parameter>\n<parameter=example_parameter_2>This is the value for the second parameter\nthat can span\nmultiple lines</parameter>\n</function>\n</seed:tool_call>\n",
+}
+
+
+def bare(tool: dict) -> dict:
+    """A tool without the object around it that says that it is a function."""
+    return tool["function"] if tool.get("type") == "function" else tool
+
+
+def wrapped(tool: dict) -> dict:
+    return {"type": "function", "function": bare(tool)} if tool.get("type") != "function" else tool
+
+
+def spelled(tool: dict) -> str:
+    """A tool's name, description and arguments in words."""
+    form = tool.get("parameters") or {}
+    needed, lines = form.get("required") or [], []
+    for name, kind in (form.get("properties") or {}).items():
+        notes = [kind.get("description", "")]
+        if kind.get("enum"):
+            notes.append(f", should be one of [{', '.join(map(str, kind['enum']))}]")
+        if kind.get("items"):
+            notes.append(f", where each item should be {kind['items'].get('type', '')}")
+        lines.append(f"  - {name} ({kind.get('type', '')}{', required' if name in needed else ''}): {''.join(notes)}\n")
+    return f"> Tool Name: {tool['name']}\nTool Description: {tool.get('description', '')}\nTool Args:\n{''.join(lines)}\n"
+
+
+def spaced(value) -> str:
+    return json.dumps(value, indent=4, ensure_ascii=False)
+
+
+def by_line(tools: list[dict]) -> str:
+    return "".join("\n" + compact(wrapped(x)) for x in tools)
+
+
+#: How each dialect lists tools within what it says around them.
+LISTED: dict[str, Callable[[list[dict]], str]] = {
+    "default": lambda tools: "".join(spelled(bare(x)) for x in tools),
+    "glm4": lambda tools: "".join(f"\n\n## {bare(x)['name']}\n\n{spaced(bare(x))}\n在调用上述函数时，请使用 Json 格式表示调用的参数。" for x in tools),
+    "llama3": lambda tools: "".join(spaced(wrapped(x)) + "\n\n" for x in tools),
+    "mistral": lambda tools: compact([wrapped(x) for x in tools]),
+    "qwen": by_line,
+    "glm4_moe": by_line,
+    "seed_oss": lambda tools: "\n" + compact(tools),
+}
+
+
+def described_tools(tools: Column, dialect: str, date: str = "") -> Column:
+    """What a system turn says of tools, a JSON array as text of objects with name, description and parameters (a JSON schema),
+    each bare or within an object of type "function". It follows the system's own words: first a column said = concat(system, this),
+    as a turn's own functions can't call Python, then rendered(turns, template, said).
+    An empty array gives the empty text; null, what is no JSON array of objects, and a tool without a name give null. date: the day
+    that the llama3 dialect names, so that a query's rows don't change with the day it runs on."""
+    said, listing = TOOLS_SAID[dialect].replace("@date", date), LISTED[dialect]
+
+    def run(rows: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                found = None if text is None else json.loads(text)
+                if not isinstance(found, list):
+                    return None
+                names = ", ".join(bare(x)["name"] for x in found)
+                head, _, tail = said.partition("@tools")
+                return head + listing(found) + tail.replace("@names", names) if found else ""
+            except (ValueError, KeyError, TypeError, AttributeError):
+                return None
+
+        return rows.map(one)
+
+    return F.pandas_udf(run, "string")(tools)

@@ -207,3 +207,23 @@ def _(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.array(one).alias("calls"))
     back = [F.struct(F.lit(name).alias("dialect"), (C.read_calls(C.written_calls(F.col("calls"), name), name) == F.col("calls")).alias("same")) for name in C.DIALECTS]
     return p.select("p_partkey", F.explode(F.array(*back)).alias("x")).select("p_partkey", "x.dialect", "x.same")
+
+
+TOOL = """'{"name": "find_' || p_size || '", "description": "' || p_name || '", "parameters": {"type": "object", "properties": {"brand": {"type": "string", "enum": ["' || p_brand || '", "any"]}, "size": {"type": "integer", "description": "at most"}}, "required": ["size"]}}'"""
+
+
+@query(
+    "tool_descriptions",
+    f"""with p as (select p_partkey, p_name, p_size, p_brand, {TOOL} as tool from part)
+  select p_partkey, 'default' as dialect, 'You have access to the following tools:' || chr(10) || '> Tool Name: find_' || p_size || chr(10) || 'Tool Description: ' || p_name || chr(10) || 'Tool Args:' || chr(10)
+    || '  - brand (string): , should be one of [' || p_brand || ', any]' || chr(10) || '  - size (integer, required): at most' || chr(10) || chr(10) || 'Use the following format if using a tool:' || chr(10) || '```' || chr(10)
+    || 'Action: tool name (one of [find_' || p_size || '])' || chr(10) || 'Action Input: the input to the tool, in a JSON format representing the kwargs (e.g. ```{{"input": "hello world", "num_beams": 5}}```)' || chr(10) || '```' || chr(10) as said from p
+  union all select p_partkey, 'mistral', '[AVAILABLE_TOOLS] [{{"type": "function", "function": ' || tool || '}}][/AVAILABLE_TOOLS]' from p
+  union all select p_partkey, 'qwen', replace('||# Tools||You may call one or more functions to assist with the user query.||You are provided with function signatures within <tools></tools> XML tags:|<tools>|', '|', chr(10)) || '{{"type": "function", "function": ' || tool || '}}'
+    || replace('|</tools>||For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:|<tool_call>|{{"name": <function-name>, "arguments": <args-json-object>}}|</tool_call>', '|', chr(10)) from p""",
+)
+def _(spark, d):
+    tool = F.format_string('[{"name": "find_%d", "description": "%s", "parameters": {"type": "object", "properties": {"brand": {"type": "string", "enum": ["%s", "any"]}, "size": {"type": "integer", "description": "at most"}}, "required": ["size"]}}]', "p_size", "p_name", "p_brand")
+    p = t(spark, d, "part").select("p_partkey", tool.alias("tools"))
+    said = [F.struct(F.lit(name).alias("dialect"), C.described_tools(F.col("tools"), name).alias("said")) for name in ("default", "mistral", "qwen")]
+    return p.select("p_partkey", F.explode(F.array(*said)).alias("x")).select("p_partkey", "x.dialect", "x.said")
