@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, release, widened
-from .tokens import Coder, default_file, groups, id_coder, library_ids, merge_coder, vocabulary
+from .tokens import CODERS, Coder, default_file, groups, id_coder, library_ids, merge_coder, vocabulary
 
 #: Pre-tokens in the broadcast table, each of at most WIDE bytes: at most 20 MB, whatever the input.
 FREQUENT, WIDE = 1 << 16, 256
@@ -54,6 +54,9 @@ def _length_coder(path: str) -> Coder:
     return Coder(path, lambda words: [len(x) >> 2 for x in ids(words)], counts=True)
 
 
+CODERS.append(_length_coder)
+
+
 def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit) of each whole text.
 

@@ -327,3 +327,14 @@ def merge_coder(path: str) -> Coder:
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     return Coder(path, run, room=NARROW)
+
+
+#: What makes a worker's coders, each with caches that live as long as the worker.
+CODERS = [id_coder, merge_coder]
+
+
+def forget() -> None:
+    """Lets go of a worker's coders and caches. For operators that hold caches of their own: the same workers may have encoded before them,
+    in an earlier stage or query, and the memory is bounded for both together."""
+    for made in CODERS:
+        made.cache_clear()

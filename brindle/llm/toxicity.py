@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .chunks import spread
 from .common import chosen, held_out, widened
 from .shingles import BASE, INVERSE, U, mix
-from .tokens import gather, groups
+from .tokens import forget, gather, groups
 
 #: Hash bits, letters of an n-gram, features at most, and a feature's least gain in standard deviations.
 BITS, GRAMS, MOST, LEAST = 20, (3, 4, 5, 6, 7), 6000, 4.0
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     sample = known.unionByName(other).where("text is not null").repartition(6).persist()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         features, n, rows = Features(), np.zeros((2, 1 << BITS), np.int32), 0
         for b in batches:
             toxic = np.array(b.column("toxic").to_pylist(), bool)
@@ -147,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     held = spark.sparkContext.broadcast(table)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         features = Features(held.value)
         for b in batches:
             out = []
@@ -173,6 +175,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, w, bias = held.value
+        forget()
         features = Features(table)
         for b in batches:
             out = []
