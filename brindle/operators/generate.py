@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.operators.equations import Poly, solve
+from brindle.operators.relational import spread
 
 #: Words of each template: kinds, things (a counted thing is a kind and a thing), places, and what a total counts.
 TEMPLATES = {
@@ -215,7 +216,7 @@ def _generated(seeds: DataFrame, make: Callable[[random.Random, int, str, int],
     full = f"seed long, op int, template string, attempt int, {schema}"
     names = [c.split()[0] for c in full.split(", ")]
     some = seeds.select(F.col("seed").cast("long").alias("seed"), F.col("op").cast("int").alias("op"), "template").where(F.col("seed").isNotNull() & (F.col("op") >= 1) & F.col("template").isin(*TEMPLATES))
-    return some.mapInPandas(rows, full)
+    return spread(some, "seed").mapInPandas(rows, full)
 
 
 def forward(seeds: DataFrame, attempts: int = 100, most: int = 22) -> DataFrame:
