@@ -10,6 +10,7 @@ from brindle.operators import equations as Q
 from brindle.operators import generate as N
 from brindle.operators import graph as G
 from brindle.operators import symbolic as Y
+from brindle.operators.relational import spread
 from brindle.plans.queries import query, t
 
 def template() -> Column:
@@ -57,7 +58,7 @@ def _(spark, d):
   where p_partkey % 4 <> 3 union all select p_partkey, null, null from part where p_partkey % 4 = 3""",
 )
 def _(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 4).alias("kind"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 4).alias("kind"))
     s, k = F.col("s"), F.col("k")
     text = F.when(F.col("kind") == 0, F.format_string("%d * (x - %d) + 4 = 4 + x - %d", k + 1, s, s)).when(F.col("kind") == 1, F.format_string("x**2 = %d*x - %d", s + k, s * k))
     text = text.when(F.col("kind") == 2, F.format_string("x^2 + %d = x*0", s)).otherwise(F.format_string("x**3 + %d = y", s))
