@@ -3,6 +3,7 @@ within a row, or one aggregation; nothing here shuffles but what groups turns.""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -182,16 +183,22 @@ def folded(df: DataFrame, order: str, size: int, value: str) -> DataFrame:
     return one.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 def token_count(text: Column, path: str) -> Column:
     """Tokens of a text by the tokenizer file at `path`, without added special tokens; a null text has none. Whole texts are counted, in Arrow batches; the
-    tokenizer is loaded once a task."""
+    tokenizer is loaded once a worker."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(path)
         for texts in batches:
             parts = [texts.iloc[i : i + 64].fillna("").tolist() for i in range(0, len(texts), 64)]
             yield pd.Series([len(e.ids) for p in parts for e in tokenizer.encode_batch(p, add_special_tokens=False)], dtype="int64")
