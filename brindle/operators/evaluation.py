@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,12 +95,66 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Draws in the table of bootstrap(), 8 bytes each, at most.
+DRAWS = 1 << 20
+
+
 def bootstrap(df: DataFrame, by: list[str], order: str, value: str, rounds: int = 1000, seed: int = 42, size: int | None = None, reducer: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """(mean, std) over rounds of a reducer (of REDUCERS, or a function of an array) of `size` values (null: as many as a group has) drawn with replacement.
     The group's values are an array: groups are a prompt's samples. Rounds are computed in the group's row, so nothing is multiplied by
-    them. Draws hash (seed, round, place), so reruns agree; null values are left out, and a group without others has none."""
-    one = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
-    reduce = REDUCERS[reducer] if isinstance(reducer, str) else reducer
+    them. Draws hash (seed, round, place), so reruns agree; null values are left out, and a group without others has none.
+    Reducers by name run over numpy arrays with a table of those draws, made once, for groups of as many as DRAWS draws hold; longer groups, and reducers
+    that are functions, as column functions. Either way the same draws are taken, and summed in the same order."""
+    one = samples(df, by, order, value)
+    if not isinstance(reducer, str) or (size or 1) * rounds > DRAWS:
+        return _by_columns(one, by, rounds, seed, size, REDUCERS[reducer] if isinstance(reducer, str) else reducer)
+    most = size or min(DRAWS // rounds, 512)
+    short = F.lit(True) if size else F.size("v") <= most
+    some = one.where(short).select(*by, _resampled(_draws(df.sparkSession, rounds, most, seed), size, reducer)("v").alias("__r"))
+    some = some.select(*by, F.round("__r.mean", 6).alias("mean"), F.round("__r.std", 6).alias("std"))
+    return some if size else some.unionByName(_by_columns(one.where(~short), by, rounds, seed, size, REDUCERS[reducer]))
+
+
+def samples(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Groups' values in order, as arrays v; null values are left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
+
+
+def _draws(spark: SparkSession, rounds: int, most: int, seed: int):
+    """Broadcast hashes of (seed, round, place), a row a place and a column a round: they are the same for all groups."""
+    h = F.xxhash64(F.lit(seed), F.floor(F.col("id") / most).cast("int"), (F.col("id") % most).cast("int"))
+    table = spark.range(rounds * most, numPartitions=1).select(h.alias("h")).toArrow()
+    return spark.sparkContext.broadcast(table["h"].to_numpy().reshape(rounds, most).T.copy())
+
+
+def _resampled(table, size: int | None, reducer: str):
+    """A function of a column of arrays: mean and std of the reducer over rounds. table: see _draws()."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        draws, places, out = table.value, {}, []
+        for v in values:
+            v, n = np.asarray(v, float), len(v)
+            if n not in places:
+                if len(places) * len(draws) > 4096:
+                    places.clear()
+                places[n] = np.mod(draws[: size or n], n)  # of the divisor's sign, as pmod's
+            at = places[n]
+            m = v[at[0]]
+            for row in at[1:]:  # in the order of places, as the sum's last digits hang on it
+                # a NaN is above all numbers, as it is to Spark
+                m = m + v[row] if reducer == "mean" else np.maximum(m, v[row]) if reducer == "best" else np.fmin(m, v[row])
+            m = m / len(at) if reducer == "mean" else m
+            mean = m.cumsum()[-1] / len(m)
+            out.append((mean, math.sqrt(((m - mean) ** 2).cumsum()[-1] / len(m))))
+        return pd.DataFrame(out, columns=["mean", "std"])
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
+    made = F.pandas_udf(run, "struct<mean:double,std:double>")
+    return lambda v: made(F.col(v).cast("array<double>"))
+
+
+def _by_columns(one: DataFrame, by: list[str], rounds: int, seed: int, size: int | None, reduce: Callable[[Column], Column]) -> DataFrame:
+    """bootstrap() of rows (by, v) by column functions."""
     places = F.sequence(F.lit(0), (F.lit(size) if size else F.size("v")) - 1)
     drawn = lambda r: F.transform(places, lambda i: F.get("v", F.pmod(F.xxhash64(F.lit(seed), r, i), F.size("v")).cast("int")))
     each = one.select(*by, F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.get(F.transform(F.array(drawn(r)), reduce), F.lit(0)).cast("double")).alias("m"))
@@ -221,15 +276,17 @@ def valid_ratio(mask: str, rate: float, batch: int) -> list[Column]:
 def validation_pass(df: DataFrame, source: str, uid: str, order: str, value: str, ns: list[int], rounds: int = 1000, seed: int = 42) -> DataFrame:
     """(source, n, best_mean, best_std, worst_mean, worst_std) of best@n and worst@n, bootstrapped by (source, uid), then their mean by source. Prompts of fewer than n answers
     count for no n above their number."""
-    out = None
+    one, cells = samples(df, [source, uid], order, value).where(F.size("v") >= min(ns)), []
     for n in ns:
-        enough = df.groupBy(source, uid).agg(F.count(value).alias("__n")).where(F.col("__n") >= n).select(source, uid)
-        some = df.join(enough, [source, uid])
-        best, worst = (bootstrap(some, [source, uid], order, value, rounds, seed, n, how).select(source, uid, F.col("mean").alias(f"{how}_mean"), F.col("std").alias(f"{how}_std")) for how in ("best", "worst"))
-        names = ["best_mean", "best_std", "worst_mean", "worst_std"]
-        one = best.join(worst, [source, uid]).groupBy(source).agg(*[F.round(F.avg(c), 6).alias(c) for c in names]).select(source, F.lit(n).alias("n"), *names)
-        out = one if out is None else out.unionByName(one)
-    return out
+        if n * rounds > DRAWS:
+            raise ValueError(f"{n} values a round are too many")
+        table = _draws(df.sparkSession, rounds, n, seed)
+        one = one.withColumns({f"{how}_{n}": _resampled(table, n, how)("v") for how in ("best", "worst")})
+        r = [F.round(F.col(f"{how}_{n}")[c], 6).alias(f"{how}_{c}") for how in ("best", "worst") for c in ("mean", "std")]
+        cells.append(F.when(F.size("v") >= n, F.struct(F.lit(n).alias("n"), *r)))
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+    each = one.select(source, F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select(source, "c.*")
+    return each.groupBy(source, "n").agg(*[F.round(F.avg(c), 6).alias(c) for c in names])
 
 
 def vote_value(df: DataFrame, by: list[str], vote: str, value: str, order: str) -> DataFrame:
