@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import answers as N
 from brindle.functions import equality as Q
 from brindle.operators import rewards as W
+from brindle.operators.relational import spread
 from brindle.plans.queries import query, t
 
 
@@ -104,7 +105,7 @@ PAIR = "select p_partkey, p_size::bigint as s, p_partkey % 7 + 1 as k, p_partkey
 
 @query("math_equality", f"""select p_partkey, kind not in (1, 3, 5, 8) as strict, kind not in (5, 8) as loose from ({PAIR})""")
 def _(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 9).alias("kind"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 9).alias("kind"))
     s, k = F.col("s"), F.col("k")
     text = lambda form, *c: F.format_string(form, *c)
     pairs = [  # equal: reordered, a fraction not reduced (loosely), expanded, a hundredth (loosely), a root, other intervals (never), elements, a mixed number, another number (never)
