@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
+from brindle.operators.relational import spread
 from brindle.plans.queries import query, t
 
 
 def problems(spark, d) -> DataFrame:
     """Texts of six kinds by p_partkey: symbols only; an intermediate; written out and tagged; a value that later steps show; no
     value but a number in words; a cycle. s: p_size; k: a number of the key."""
-    p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 6).alias("kind"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 6).alias("kind"))
     text = lambda form, *c: F.format_string(form, *c)
     s, k = F.col("s"), F.col("k")
     first = "Define red fox in Oak as X; so X = %d. "
@@ -55,7 +56,7 @@ def _(spark, d):
 
 def predictions(spark, d) -> DataFrame:
     """Gold: fox s, owl fox + k. Predicted, by the key: equal, another value, another dependency, a node more, a node less, another answer."""
-    p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 6).alias("kind"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.col("p_size").cast("long").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"), (F.col("p_partkey") % 6).alias("kind"))
     s, k, kind = F.col("s"), F.col("k"), F.col("kind")
     gold = F.format_string("Define fox as X; so X = %d. Define owl as Y; so Y = X + %d. Answer: %d.", s, k, s + k)
     fox, owl = F.format_string("Define fox as A; so A = %d. ", s), F.format_string("Define owl as B; so B = A + %d. ", F.when(kind == 1, k + 1).otherwise(k))
