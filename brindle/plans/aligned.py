@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import chat as C
 from brindle.operators import encoding as E
+from brindle.operators.relational import spread
 from brindle.plans.queries import query, t
 
 
@@ -204,7 +205,7 @@ def _(spark, d):
 @query("tool_dialects", "select p_partkey, d as dialect, true as same from part, (select unnest(['default', 'glm4', 'llama3', 'mistral', 'qwen', 'glm4_moe', 'seed_oss']) as d)")
 def _(spark, d):
     one = F.struct(F.concat(F.lit("tool_"), F.col("p_size").cast("string")).alias("name"), F.format_string('{"name": "%s", "size": %d}', F.col("p_name"), F.col("p_size")).alias("arguments"))
-    p = t(spark, d, "part").select("p_partkey", F.array(one).alias("calls"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select("p_partkey", F.array(one).alias("calls"))
     back = [F.struct(F.lit(name).alias("dialect"), (C.read_calls(C.written_calls(F.col("calls"), name), name) == F.col("calls")).alias("same")) for name in C.DIALECTS]
     return p.select("p_partkey", F.explode(F.array(*back)).alias("x")).select("p_partkey", "x.dialect", "x.same")
 
@@ -224,6 +225,6 @@ TOOL = """'{"name": "find_' || p_size || '", "description": "' || p_name || '",
 )
 def _(spark, d):
     tool = F.format_string('[{"name": "find_%d", "description": "%s", "parameters": {"type": "object", "properties": {"brand": {"type": "string", "enum": ["%s", "any"]}, "size": {"type": "integer", "description": "at most"}}, "required": ["size"]}}]', "p_size", "p_name", "p_brand")
-    p = t(spark, d, "part").select("p_partkey", tool.alias("tools"))
+    p = spread(t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand"), "p_partkey").select("p_partkey", tool.alias("tools"))
     said = [F.struct(F.lit(name).alias("dialect"), C.described_tools(F.col("tools"), name).alias("said")) for name in ("default", "mistral", "qwen")]
     return p.select("p_partkey", F.explode(F.array(*said)).alias("x")).select("p_partkey", "x.dialect", "x.said")
