@@ -33,8 +33,9 @@ class Episode(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, turns, said, asked, size, last = self.kept.get() if self.kept.exists() else (PENDING, 0, 0, 0, 0, 0)
-        batch = pd.concat(list(rows)).sort_values(["turn", "role", "text"])
-        for role, text, ms in zip(batch["role"], batch["text"], batch["ms"], strict=True):
+        # plain tuples: most conversations have few turns in a batch, for which a frame's own sort costs far more
+        batch = [x for f in rows for x in zip(f["turn"].isna().tolist(), f["turn"].tolist(), f["role"].tolist(), f["text"].tolist(), f["ms"].tolist(), strict=True)]
+        for _, _, role, text, ms in sorted(batch):
             if state == TERMINATED:
                 break
             turns, last = turns + 1, max(last, int(ms))
