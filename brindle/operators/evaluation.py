@@ -278,9 +278,7 @@ def validation_pass(df: DataFrame, source: str, uid: str, order: str, value: str
     count for no n above their number."""
     one, cells = samples(df, [source, uid], order, value).where(F.size("v") >= min(ns)), []
     for n in ns:
-        if n * rounds > DRAWS:
-            raise ValueError(f"{n} values a round are too many")
-        table = _draws(df.sparkSession, rounds, n, seed)
+        table = _draws(df.sparkSession, rounds, n, seed)  # grows with the parameters alone
         one = one.withColumns({f"{how}_{n}": _resampled(table, n, how)("v") for how in ("best", "worst")})
         r = [F.round(F.col(f"{how}_{n}")[c], 6).alias(f"{how}_{c}") for how in ("best", "worst") for c in ("mean", "std")]
         cells.append(F.when(F.size("v") >= n, F.struct(F.lit(n).alias("n"), *r)))
