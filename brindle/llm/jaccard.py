@@ -182,7 +182,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         release(spark)
         return out
 
-    postings = heads.select(F.explode("first").alias("bucket"), "id")
+    postings = heads.select(F.explode("first").alias("bucket"), "id", F.col("n").cast("int").alias("size"))
     found = resolve(postings, marks, may, verify, scratch, 100 / percent)
     named = heads.select("one", "two", "doc_id", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = named.where("component is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
