@@ -262,7 +262,8 @@ def in_context(problems: DataFrame, target: int, tokens: Callable[[Column], Colu
     sofar = F.sum("__size").over(Window.partitionBy("seed").orderBy("__i"))
     kept = rows.withColumn("__sum", F.col("__own") + sofar).where(F.col("__sum") <= target)
     lines = kept.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("__i", "__said"))).alias("__more"), F.max("__sum").alias("__total"))
-    x = x.join(lines, "seed", "left")
+    # texts are estimated at a few bytes each: Spark would send all of them to the driver and to each task
+    x = x.hint("merge").join(lines.hint("merge"), "seed", "left")
     more = F.coalesce(F.transform("__more", lambda m: m["__said"]), F.array().cast("array<string>"))
     own = F.transform(F.split(F.rtrim("problem", F.lit(".")), r"\. "), lambda s: F.concat(s, F.lit(".")))
     # places in 0 .. 1, ascending within either kind: own statements by sorted draws, the others evenly
